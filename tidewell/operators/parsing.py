@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.csvtext import with_cells
-from tidewell.functions.moments import BLANK, with_moments
+from tidewell.functions.moments import BLANK, source_rules, with_moments
 from tidewell.operators.joins import small
 
 # Columns of the two layouts and the reasons in use.
@@ -78,7 +78,7 @@ def line_errors(parsed: DataFrame, sources: DataFrame, rules: DataFrame) -> Data
     """All errors of the lines of ``parsed_lines``; a layout that is not known has no right number of columns."""
     structure = F.when(~F.col("quoting_ok"), F.lit("broken_quoting")).when(~F.coalesce(F.size("csv_cells") == F.size("columns"), F.lit(False)), F.lit("column_count"))
     whole = parsed.select(F.lit("policy_export_lines").alias("source_table"), F.col("line_id").alias("row_key"), F.when(~F.col("quoting_ok"), 1).otherwise(2).alias("rank"), structure.alias("reason")).where("reason is not null")
-    fine = parsed.where(structure.isNull()).join(small(sources.select("source_system", "default_tz", "date_order")), "source_system", "left")
+    fine = parsed.where(structure.isNull()).join(small(source_rules(sources)), "source_system", "left")
     cells = fine.select(
         F.lit("policy_export_lines").alias("source_table"), "layout", F.col("line_id").alias("row_key"), "default_tz", "date_order",
         F.explode(F.filter(F.arrays_zip(F.col("columns").alias("column"), F.col("csv_cells").alias("value")), lambda c: ~c["column"].isin("doc_id", "chunk_text"))).alias("cell"),
@@ -106,7 +106,7 @@ TAIL = r'(?s),"?((?:[A-Za-z]+ \d{1,2}, \d{4}|\d{1,2} tháng \d{1,2}, \d{4})|[^,"
 
 def dirty_errors(export: DataFrame, sources: DataFrame, rules: DataFrame) -> DataFrame:
     """All errors of policy_export_dirty: fields out of place first, then impossible dates."""
-    with_source = export.select("row_id", "source_system", "chunk_text", "effective_date", "exported_at").join(small(sources.select("source_system", "default_tz", "date_order")), "source_system", "left")
+    with_source = export.select("row_id", "source_system", "chunk_text", "effective_date", "exported_at").join(small(source_rules(sources)), "source_system", "left")
     ran_on, took_in = displaced()
     tailed = with_source.withColumns({"__took": took_in, "__ran": ran_on})
     suspects = tailed.where("__took").select("row_id", "default_tz", "date_order", F.regexp_extract("chunk_text", TAIL, 1).alias("tail_date"), F.regexp_extract("chunk_text", TAIL, 2).alias("tail_instant"))
