@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import duplicates
+from tidewell.llm import duplicates, encodings
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,15 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     """Each export record once, with its number of copies."""
     return duplicates.collapsed(table(spark, sf, "policy_export_dirty"))
+
+
+@query()
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose text went through a wrong character encoding."""
+    return encodings.restored(table(spark, sf, "policy_export_dirty")).select("row_id")
+
+
+@query()
+def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Those rows with their text restored as far as nothing was lost."""
+    return encodings.restored(table(spark, sf, "policy_export_dirty"))
