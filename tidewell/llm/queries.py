@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import duplicates, encodings
+from tidewell.llm import duplicates, encodings, representatives
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,21 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
     """Those rows with their text restored as far as nothing was lost."""
     return encodings.restored(table(spark, sf, "policy_export_dirty"))
+
+
+@query()
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The copies that give each field of the surviving record of a group."""
+    return representatives.representatives(table(spark, sf, "policy_export_dirty"), table(spark, sf, "export_sources"))
+
+
+@query()
+def p2_current(spark: SparkSession, sf: str) -> DataFrame:
+    """The topologically latest values of each group, where missing timestamps are placed by learned precedence."""
+    return representatives.representatives(table(spark, sf, "policy_export_dirty"), table(spark, sf, "export_sources"), missing="learned")
+
+
+@query()
+def p2_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The surviving record of each group."""
+    return representatives.merged(table(spark, sf, "policy_export_dirty"), table(spark, sf, "export_sources"))
