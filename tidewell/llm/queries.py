@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import duplicates, encodings, representatives
+from tidewell.llm import duplicates, encodings, leaks, representatives
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,15 @@ def p2_current(spark: SparkSession, sf: str) -> DataFrame:
 def p2_merged(spark: SparkSession, sf: str) -> DataFrame:
     """The surviving record of each group."""
     return representatives.merged(table(spark, sf, "policy_export_dirty"), table(spark, sf, "export_sources"))
+
+
+@query()
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the test items of which they hold 13 consecutive words or more."""
+    return leaks.found(table(spark, sf, "documents"), table(spark, sf, "eval_passages"))
+
+
+@query()
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks with their longest piece and their coverage, pieces in another order included."""
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_passages"))
