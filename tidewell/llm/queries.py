@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import duplicates, encodings, leaks, representatives
+from tidewell.llm import duplicates, encodings, leaks, pii, representatives
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,15 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Leaks with their longest piece and their coverage, pieces in another order included."""
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_passages"))
+
+
+@query()
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each distinct item of personal data of each document."""
+    return pii.found(table(spark, sf, "documents"))
+
+
+@query()
+def p9_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with typed placeholders in the place of personal data."""
+    return pii.masked(table(spark, sf, "documents"))
