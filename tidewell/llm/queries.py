@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import duplicates, encodings, leaks, pii, representatives
+from tidewell.llm import duplicates, encodings, leaks, packing, pii, representatives
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,16 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 def p9_masked(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with typed placeholders in the place of personal data."""
     return pii.masked(table(spark, sf, "documents"))
+
+
+@query()
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in the containers of each window."""
+    return packing.packed(table(spark, sf, "documents"), table(spark, sf, "context_windows"))
+
+
+@query()
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of each window are."""
+    windows = table(spark, sf, "context_windows")
+    return packing.fill_rates(packing.packed(table(spark, sf, "documents"), windows), windows)
