@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import duplicates, encodings, leaks, packing, pii, representatives
+from tidewell.llm import duplicates, encodings, leaks, packing, pairs, pii, representatives
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,9 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     """How full the containers of each window are."""
     windows = table(spark, sf, "context_windows")
     return packing.fill_rates(packing.packed(table(spark, sf, "documents"), windows), windows)
+
+
+@query()
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Defective question and answer pairs, with the defect."""
+    return pairs.flagged(table(spark, sf, "agent_state"), table(spark, sf, "test_questions"))
