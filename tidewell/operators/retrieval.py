@@ -17,6 +17,8 @@ from tidewell.operators.joins import small
 K1, B, FUSION = 1.5, 0.75, 60
 #: Query vectors that meet a batch of rows at once.
 BLOCK_QUERIES = 512
+#: Up to so many cells (queries x words of queries) sparse queries meet the documents as a matrix in every task.
+MATRIX_CELLS = 20_000_000
 
 
 def ranked(scored: DataFrame, by: str, item: str, k: int, score: str = "score", rank: str = "rank") -> DataFrame:
@@ -63,7 +65,8 @@ def bm25_topk(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` best documents (doc_id, text) for each (query_id, query) by BM25.
 
     Only words of the queries leave the scan of the documents. Documents without any of a query's words are no candidates.
-    The inverse frequency is ln(1 + (N - n + 0.5) / (n + 0.5)), which is never negative.
+    A document's words are gathered (never more than the queries have) and meet all queries in one matrix product; with more
+    queries than MATRIX_CELLS allows, words are joined instead. The inverse frequency is ln(1 + (N - n + 0.5) / (n + 0.5)), which is never negative.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     terms = small(wanted.select("term").distinct(), 200_000)
@@ -76,7 +79,36 @@ def bm25_topk(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     gain = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     weighted = postings.join(spread, "term").join(F.broadcast(sizes)).select("term", "doc_id", gain.alias("gain"))
-    scored = weighted.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("gain"), 6).alias("score"))
+    shape = wanted.agg(F.countDistinct("query_id"), F.countDistinct("term")).first()
+    if shape[0] * shape[1] > MATRIX_CELLS:
+        scored = weighted.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("gain"), 6).alias("score"))
+        return ranked(scored, "query_id", "doc_id", k)
+    table = wanted.toArrow().to_pandas()
+    names, query_no = np.unique(table["query_id"].to_numpy(str), return_inverse=True)
+    terms_in_order, term_no = np.unique(table["term"].to_numpy(str), return_inverse=True)
+    asks = np.zeros((len(terms_in_order), len(names)), np.float32)
+    asks[term_no, query_no] = 1
+    shared = queries.sparkSession.sparkContext.broadcast((names, dict(zip(terms_in_order.tolist(), range(len(terms_in_order)))), asks))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, numbers, asks = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                ids = part.column("doc_id").to_numpy()
+                held = part.column("held")
+                doc = np.repeat(np.arange(len(ids)), np.diff(held.offsets.to_numpy()))
+                flat = held.flatten()
+                m = np.zeros((len(ids), len(numbers)))
+                m[doc, [numbers[t] for t in flat.field("term").to_pylist()]] = flat.field("gain").to_numpy()
+                sums = np.round(m @ asks, 6).T
+                order = np.lexsort((np.broadcast_to(ids, sums.shape), -sums), axis=1)[:, :k]
+                best = np.take_along_axis(sums, order, 1)
+                some = best > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, some.sum(1)).tolist(), pa.string()), pa.array(ids[order][some]), pa.array(best[some])], names=["query_id", "doc_id", "score"])
+
+    by_doc = weighted.groupBy("doc_id").agg(F.collect_list(F.struct("term", "gain")).alias("held"))
+    scored = by_doc.mapInArrow(score, "query_id string, doc_id bigint, score double")
     return ranked(scored, "query_id", "doc_id", k)
 
 
