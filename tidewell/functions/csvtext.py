@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Stand-ins for a comma inside quotes, for a doubled quote and for themselves in the text.
+# A stand-in for a comma inside quotes, and what marks the two where a text has them itself.
 _ESCAPE, _COMMA = "\u0001", "\u0002"
 
 
@@ -24,23 +24,23 @@ def with_cells(df: DataFrame, raw: str, prefix: str = "csv") -> DataFrame:
     """
     line, pieces, cells = f"__{prefix}_line", f"__{prefix}_pieces", f"__{prefix}_joined"
     text = F.regexp_replace(F.col(f"`{raw}`"), F.lit(r"(\r?\n|\r)$"), F.lit(""))
-    text = F.regexp_replace(text, F.lit(f"[{_ESCAPE}{_COMMA}]"), F.lit(f"{_ESCAPE}$0"))
+    text = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "A")), F.lit(_COMMA), F.lit(_ESCAPE + "B"))
     out = df.withColumns({line: text}).withColumns({pieces: F.split(F.col(line), F.lit('"'), -1)})
-    last = F.size(pieces) - 1
-
-    def outside_ok(p: Column, i: Column) -> Column:
-        middle = (p == "") | (p.startswith(",") & p.endswith(","))
-        return ~p.rlike(r"[\r\n]") & F.when(last == 0, F.lit(True)).when(i == 0, (p == "") | p.endswith(",")).when(i == last, (p == "") | p.startswith(",")).otherwise(middle)
-
-    quoted = F.transform(F.col(pieces), lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(","), F.lit(_COMMA))).when((p == "") & (i > 0) & (i < last), F.lit('"')).otherwise(p))
-    ok = (last % 2 == 0) & F.forall(F.transform(F.col(pieces), lambda p, i: F.when(i % 2 == 1, True).otherwise(outside_ok(p, i))), lambda b: b)
+    # nothing in the lambdas may refer to the whole array, which would be made anew for each of its pieces
+    many = F.size(pieces)
+    first, last = F.element_at(pieces, 1), F.element_at(pieces, -1)
+    middle = F.slice(F.col(pieces), 2, F.greatest(many - 2, F.lit(0)))  # inside, outside, inside, ...
+    broken = lambda p: p.rlike(r"[\r\n]")
+    between = lambda p, i: (i % 2 == 0) | (p == "") | (p.startswith(",") & p.endswith(",") & ~broken(p))
+    ends = ((first == "") | first.endswith(",")) & ((last == "") | last.startswith(",")) & ~broken(first) & ~broken(last)
+    ok = (many % 2 == 1) & ends & F.forall(F.transform(middle, between), lambda b: b)
+    inner = F.transform(middle, lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), F.lit(_COMMA))).when(p == "", F.lit('"')).otherwise(p))
+    quoted = F.concat(F.array(first), inner, F.array(last))
     ok = F.when(F.contains(F.col(line), F.lit('"')), ok).otherwise(~F.col(line).rlike(r"[\r\n]"))
     plain = F.when(F.contains(F.col(line), F.lit('"')), F.array_join(quoted, "")).otherwise(F.col(line))
     out = out.withColumns({f"{prefix}_quoting_ok": F.coalesce(ok, F.lit(False)), cells: plain})
-    # a stand-in that was in the text follows the escape and is told from a comma by it
-    restored = F.transform(
-        F.split(F.col(cells), F.lit(","), -1),
-        lambda c: F.when(c.rlike(f"[{_ESCAPE}{_COMMA}]"), F.regexp_replace(F.regexp_replace(c, F.lit(f"(?<!{_ESCAPE}){_COMMA}"), F.lit(",")), F.lit(f"{_ESCAPE}([{_ESCAPE}{_COMMA}])"), F.lit("$1"))).otherwise(c),
-    )
+    commas = lambda c: F.replace(c, F.lit(_COMMA), F.lit(","))
+    own = lambda c: F.replace(F.replace(c, F.lit(_ESCAPE + "B"), F.lit(_COMMA)), F.lit(_ESCAPE + "A"), F.lit(_ESCAPE))
+    restored = F.transform(F.split(F.col(cells), F.lit(","), -1), lambda c: own(commas(c)))
     out = out.withColumns({f"{prefix}_cells": F.when(F.col(f"{prefix}_quoting_ok"), restored)})
     return out.drop(line, pieces, cells)
