@@ -235,6 +235,19 @@ def _symbol(char: str) -> tuple[int, str]:
     return got
 
 
+def _letters(symbol: str) -> list[str]:
+    """The letters of a symbol that stands for more than one, each with its marks."""
+    if len(symbol) == 1:
+        return [symbol]
+    out: list[str] = []
+    for c in symbol:
+        if out and unicodedata.category(c)[0] == "M":
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
 def _stream(text: str, start: int, end: int) -> Iterator[str]:
     """The counting characters of a span one after another, a blank before each word but the first."""
     gap, begun, last_digit, pending = False, False, False, ""
@@ -255,7 +268,9 @@ def _stream(text: str, start: int, end: int) -> Iterator[str]:
             yield cluster if len(cluster) < 3 else cluster[0] + "".join(sorted(cluster[1:]))
         if gap and begun:
             yield pending if pending and digit else " "
-        cluster, gap, begun, last_digit, pending = symbol, False, True, digit, ""
+        *ahead, cluster = _letters(symbol)
+        yield from ahead
+        gap, begun, last_digit, pending = False, True, digit, ""
     if cluster:
         yield cluster if len(cluster) < 3 else cluster[0] + "".join(sorted(cluster[1:]))
 

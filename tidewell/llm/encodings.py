@@ -263,7 +263,12 @@ def repaired(text: str, bits: np.ndarray, over: np.ndarray, model: PairModel) ->
         out += text[last:a], fixed if was else run
         last = b
     out.append(text[last:])
-    return "".join(out), garbled
+    fixed = "".join(out)
+    if garbled and len(text) > 1:  # damage goes on beside its runs, where pairs happen to be usual
+        whole = restore(text, model)[0]
+        if model.mean_bits(whole) < model.mean_bits(fixed):
+            fixed = whole
+    return fixed, garbled
 
 
 def suspects(points: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
