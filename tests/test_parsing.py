@@ -49,33 +49,26 @@ def test_quoting(spark):
     assert ok == set(range(len(broken), len(broken) + len(fine)))
 
 
-def test_first_reason_of_lines(spark):
+def test_first_reason_of_each_row(spark):
     lines = [
         ("kb", "export", "1,d,t,2026-01-02,2024-03-06T04:14:10"), ("kb", "export", '1,d,"t,2026-01-02,x'), ("kb", "export", "1,d,t,2026-01-02"), ("kb", "export", "x,d,t,bad,bad"), ("kb", "export", "1,d,t,bad,bad"),
         ("kb", "export", "1,d,t,,bad"), ("kb", "quarantine", "1,d,t,,,nope,"), ("kb", "quarantine", "1,d,t,,,stale_effective_date,"), ("ny", "export", "1,d,t,01/13/2026,2024-03-06"), ("kb", "export", "1,d,t,01/13/2026,2024-03-06"),
         ("kb", "other", "1,d"), ("none", "export", "1,d,t,13/01/2026,08:00"),
     ]
-    got = {k[1]: v for k, v in reasons(spark, lines=lines).items()}
-    assert got == {1: "broken_quoting", 2: "column_count", 3: "invalid_chunk_id", 4: "invalid_effective_date", 5: "invalid_exported_at", 6: "invalid_reason", 9: "invalid_effective_date", 10: "column_count", 11: "invalid_exported_at"}
-
-
-def test_displaced_fields(spark):
     export = [
         ("kb", "tăng 6", "4% nếu chi phí vượt", "2026-01-02"), ("kb", "ca trực kéo dài", " sau đó gửi biểu mẫu", "2026-01-02"), ("kb", 'a.",2026-03-20,2024-03-05 17:33:38 UTC', None, None), ("kb", "a.,2026-03-20,", None, ""),
         ("kb", "plain, text", None, None), ("kb", "t", "chưa xác định", "2024-03-06"), ("kb", "t", " ", "2024-03-06"), ("kb", "t", "2026-02-30", "2024-03-06"), ("kb", None, None, None),
         ("kb", 'a.",2026-05-04,2024-03-02T02:32:06.179\n7521,the_khach_v4,"Nhân viên, trước', None, None),
     ]
-    got = {k[1]: v for k, v in reasons(spark, export=export).items()}
-    assert got == {0: "column_count", 1: "column_count", 2: "broken_quoting", 3: "broken_quoting", 5: "invalid_effective_date", 7: "invalid_effective_date", 9: "broken_quoting"}
-
-
-def test_reasons_of_quarantine(spark):
-    got = reasons(spark, quarantine=[" Stale_Effective_Date ", None, "", "unknowndocid", "missing_chunk_text|stale"])
-    assert {k[1] for k in got} == {1, 2, 3, 4} and set(got.values()) == {"invalid_reason"}
+    quarantine = [" Stale_Effective_Date ", None, "", "unknowndocid", "missing_chunk_text|stale"]
+    got = reasons(spark, lines=lines, export=export, quarantine=quarantine)
+    of = lambda table: {k[1]: v for k, v in got.items() if k[0] == table}
+    assert of("policy_export_lines") == {1: "broken_quoting", 2: "column_count", 3: "invalid_chunk_id", 4: "invalid_effective_date", 5: "invalid_exported_at", 6: "invalid_reason", 9: "invalid_effective_date", 10: "column_count", 11: "invalid_exported_at"}
+    assert of("policy_export_dirty") == {0: "column_count", 1: "column_count", 2: "broken_quoting", 3: "broken_quoting", 5: "invalid_effective_date", 7: "invalid_effective_date", 9: "broken_quoting"}
+    assert of("quarantine_ci_smoke") == dict.fromkeys((1, 2, 3, 4), "invalid_reason")
 
 
-def test_empty_tables_and_loaded_rows(spark):
-    assert reasons(spark) == {}
+def test_loaded_rows(spark):
     lines, _, _, sources = tables(spark, lines=[("kb", "export", '1,d,"a, ""b""",,\r'), ("kb", "export", "x,d,t,,")])
     rows = parsing.loaded_lines(lines.withColumn("reason", F.lit("clash")), sources).collect()
     assert [(r.line_id, r.chunk_text, r.exported_at) for r in rows] == [(0, 'a, "b"', "")]
