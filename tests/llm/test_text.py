@@ -31,6 +31,17 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert encodings.restored(frame.where("1=0")).count() == 0
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_frequent_damage_is_found_too(spark, alike):
+    r = random.Random(6)
+    words = "quy định về nghỉ bù cuối quý áp dụng cho đội kho lạnh với hạn ngày làm việc để tránh xử lý trùng hồ sơ đó đúng".split()
+    clean = [" ".join(r.choices(words, k=25)) + "." for _ in range(600)]
+    garbled = lambda t: "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in t.encode())
+    origin = {1000 + i: clean[0 if alike else i] for i in range(300)}  # a third of all rows
+    frame = spark.createDataFrame([*enumerate(clean), *((k, garbled(t)) for k, t in origin.items())], "row_id bigint, chunk_text string")
+    assert {x.row_id: x.restored for x in encodings.restored(frame).collect()} == origin
+
+
 # --- conditional random field
 
 

@@ -5,6 +5,9 @@ that rare pairs don't profit from being rare (the cubed form, log p(ab)^3 / p(a)
 improbable; maximum-scoring segments of a row isolate the runs where they gather. Only inside such runs inverse mappings
 are tried: back to the bytes of a legacy code page and forward through UTF-8 (or the Vietnamese code page), as often as
 it makes the text more probable. Characters that were lost can't be restored, but their runs are found.
+
+How often a garbled text stands there must not make it probable: each distinct text is counted once, and characters that
+have the shape of damage (``damaged``) aren't counted at all. They open a run whatever their bits.
 """
 
 from __future__ import annotations
@@ -42,12 +45,13 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs, chars = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64)
     for batch in batches:
         for _, _, points, offsets in blocks(batch.column(0)):
-            chars += np.bincount(points & ((1 << CHAR_BITS) - 1), minlength=len(chars))
+            whole = ~damaged(points, offsets)
+            chars += np.bincount(points[whole] & ((1 << CHAR_BITS) - 1), minlength=len(chars))
             if len(points) < 2:
                 continue
             inside = np.ones(len(points), bool)
             inside[offsets[1:-1][offsets[1:-1] < len(points)]] = False  # no pair across two rows
-            inside = inside[1:]
+            inside = inside[1:] & whole[:-1] & whole[1:]
             pairs += np.bincount(pair_buckets(points)[inside], minlength=len(pairs))
     for kind, counts in ((0, pairs), (1, chars)):
         at = np.flatnonzero(counts)
@@ -73,8 +77,8 @@ class PairModel:
 
 
 def pair_model(texts: DataFrame) -> PairModel:
-    """The model of all rows of the one text column of ``texts``; at most 2**20 + 2**16 counts reach the driver."""
-    counts = texts.mapInArrow(count_pairs, "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    """The model of all distinct texts of the one column of ``texts``; at most 2**20 + 2**16 counts reach the driver."""
+    counts = texts.distinct().mapInArrow(count_pairs, "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     kind, bucket, n = (counts.column(i).to_numpy() for i in range(3))
     pairs, chars = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64)
     pairs[bucket[kind == 0]] = n[kind == 0]
@@ -168,6 +172,14 @@ _MARK_CODES = np.array([ord(c) for c in "ÌÒÞìò"], np.uint32)
 _LOST_CODES = np.array([ord(c) for c in "?" + LOST], np.uint32)
 _VOWEL = np.zeros(MAX_CODE, bool)
 _VOWEL[[ord(c) for c in "aeiouyâêôãõýAEIOUYÂÊÔÃÕÝ"]] = True
+_LETTER = np.zeros(MAX_CODE, bool)
+_LETTER[:0x10000] = [chr(c).isalpha() for c in range(0x10000)]
+#: Letters of Vietnamese and signs of plain text: a sequence of these alone may be correct ("đó", "“á", "Ã”").
+_PLAIN = np.zeros(MAX_CODE, bool)
+_PLAIN[[ord(c) for c in unicodedata.normalize("NFC", "".join(v + m for v in "aăâeêioôơuưyAĂÂEÊIOÔƠUƯY" for m in ("", "\u0300", "\u0301", "\u0303", "\u0309", "\u0323"))) + "đĐ“”‘’–—…«»\xa0"]] = True
+#: Explained characters in a row, with no other foreign one between, that are damage whatever they are; and question marks
+#: inside words, or marks of the Vietnamese code page, in one row.
+STRONG_CHARS, STRONG_MARKS = 4, 3
 _VIETNAMESE_SIGNATURE = re.compile("[aeiouyâêôãõýAEIOUYÂÊÔÃÕÝ][ÌÒÞìò]")
 
 
@@ -226,12 +238,17 @@ def suspicious_question_marks(text: str) -> bool:
 
 
 def runs_of(text: str, bits: np.ndarray, over: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of improbable pairs that hold one of the pairs ``over``, widened over the foreign characters next to them."""
+    """Runs that hold one of the pairs ``over``, widened over the foreign characters next to them.
+
+    A run is a segment of improbable pairs, or a pair ``over`` by itself where it is in none.
+    """
     spans = []
     before = np.append(0, np.cumsum(over)).tolist()
-    for a, b in _segments((bits - IMPROBABLE_BITS).tolist()):
-        if before[b] == before[a]:
-            continue
+    found = [(a, b) for a, b in _segments((bits - IMPROBABLE_BITS).tolist()) if before[b] > before[a]]
+    alone = over.copy()
+    for a, b in found:
+        alone[a:b] = False
+    for a, b in sorted(found + [(k, k + 1) for k in np.flatnonzero(alone).tolist()]):
         b += 1
         while a > 0 and not text[a - 1].isascii():
             a -= 1
@@ -239,7 +256,7 @@ def runs_of(text: str, bits: np.ndarray, over: np.ndarray) -> list[tuple[int, in
             b += 1
         a, b = max(a - 1, 0), min(b + 1, len(text))
         if spans and a <= spans[-1][1] + 3:
-            spans[-1] = (spans[-1][0], b)
+            spans[-1] = (min(a, spans[-1][0]), max(b, spans[-1][1]))
         else:
             spans.append((a, b))
     return spans
@@ -271,19 +288,72 @@ def repaired(text: str, bits: np.ndarray, over: np.ndarray, model: PairModel) ->
     return fixed, garbled
 
 
+def sequences(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a whole UTF-8 sequence of two, or of three or more, begins as it looks in a code page."""
+    later = _LATER[points]
+    two, more = np.zeros(len(points), bool), np.zeros(len(points), bool)
+    two[:-1] = (_TWO[points[:-1]] & later[1:]) != 0
+    more[:-2] = (_MORE[points[:-2]] & later[1:-1] & later[2:]) != 0
+    inner = offsets[1:-1]
+    two[inner[inner > 0] - 1] = more[inner[inner > 0] - 1] = more[inner[inner > 1] - 2] = False  # none across two rows
+    return two, more
+
+
+def damaged(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which characters have the shape of damage: their number says nothing about how probable they are.
+
+    That is a lost character; a sequence with a character that plain text hardly has; sequences that follow each other with
+    no other foreign character between; and in rows with several of them question marks inside words and marks of the
+    Vietnamese code page behind vowels.
+    """
+    out = points == ord(LOST)
+    if len(points) < 3:
+        return out
+    two, more = sequences(points, offsets)
+    explained, odd = two.copy(), (points > 127) & ~_PLAIN[points]
+    explained[1:] |= two[:-1] | more[:-1]
+    explained |= more
+    explained[2:] |= more[:-2]
+    clear = two & odd
+    clear[:-1] |= two[:-1] & odd[1:]
+    clear_more = more & odd
+    clear_more[:-2] |= more[:-2] & (odd[1:-1] | odd[2:])
+    out |= clear | clear_more
+    out[1:] |= clear[:-1] | clear_more[:-1]
+    out[2:] |= clear_more[:-2]
+    foreign = np.flatnonzero(points > 127)
+    row_of = lambda at: np.searchsorted(offsets, at, "right")
+    if len(foreign):
+        shape, row = explained[foreign], row_of(foreign)
+        cuts = np.flatnonzero(np.append(True, (shape[1:] != shape[:-1]) | (row[1:] != row[:-1])))
+        size = np.diff(np.append(cuts, len(foreign)))
+        out[foreign[shape & np.repeat(size >= STRONG_CHARS, size)]] = True
+    asked, marked = np.zeros(len(points), bool), np.zeros(len(points), bool)
+    asked[1:-1] = _LETTER[points[:-2]] & (points[1:-1] == ord("?")) & _LETTER[points[2:]]
+    marked[1:] = _VOWEL[points[:-1]] & np.isin(points[1:], _MARK_CODES)
+    for signs in (asked, marked):
+        at = np.flatnonzero(signs)
+        if len(at) >= STRONG_MARKS:
+            row = row_of(at)
+            out[at[np.bincount(row)[row] >= STRONG_MARKS]] = True
+    return out
+
+
 def suspects(points: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs are improbable and such that some inverse mapping could explain them, and the rows that have any.
 
     That is the begin of a UTF-8 sequence as it looks in a code page, a mark of the Vietnamese code page behind a letter,
-    a question mark or a lost character. Rows without any need no segments.
+    a question mark or a lost character. Characters in the shape of damage need no improbable pair. Rows without any need
+    no segments.
     """
-    later = _LATER[points]
-    begins = (_TWO[points[:-1]] & later[1:]) != 0
-    begins[:-1] |= (_MORE[points[:-2]] & later[1:-1] & later[2:]) != 0
+    two, more = sequences(points, offsets)
+    begins = (two | more)[:-1]
     lost = np.isin(points, _LOST_CODES)
     marked = _VOWEL[points[:-1]] & np.isin(points[1:], _MARK_CODES)
     over = (bits > IMPROBABLE_BITS + SEGMENT_BITS) & (begins | marked | lost[1:] | lost[:-1])
     over[:-1] |= begins[:-1] & (bits[1:] > IMPROBABLE_BITS + SEGMENT_BITS)
+    shaped = damaged(points, offsets)
+    over |= shaped[:-1] | shaped[1:]
     inner = offsets[1:-1]
     over[inner[(inner > 0) & (inner < len(points))] - 1] = False
     return over, np.unique(np.searchsorted(offsets[:-1], np.flatnonzero(over), "right") - 1)
