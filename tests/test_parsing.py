@@ -74,6 +74,21 @@ def test_loaded_rows(spark):
     assert [(r.line_id, r.chunk_text, r.exported_at) for r in rows] == [(0, 'a, "b"', "")]
 
 
+def test_loaded_rows_of_all_tables(spark, data):
+    lines = [("kb", "export", "1,d,t,,"), ("kb", "export", "x,d,t,,")]
+    export = [("kb", "t", "2026-02-28", None), ("kb", "t", "2026-02-30", None), ("kb", "ca trực kéo dài", " sau đó gửi biểu mẫu", "2026-01-02"), ("none", None, None, None)]
+    rows = parsing.loaded_rows(*tables(spark, lines=lines, export=export, quarantine=["stale_effective_date", None])).collect()
+    assert {(r.source_table, r.row_key) for r in rows} == {("policy_export_lines", 0), ("policy_export_dirty", 0), ("policy_export_dirty", 3), ("quarantine_ci_smoke", 0)}
+    assert {r.effective_date for r in rows if r.source_table == "policy_export_dirty"} == {"2026-02-28", None}
+
+    from tidewell.queries import QUERIES
+
+    loaded = {(r.source_table, r.row_key) for r in QUERIES["p5_loaded"](spark, data).select("source_table", "row_key").collect()}
+    failed = {(r.source_table, r.row_key) for r in QUERIES["p5_found"](spark, data).collect()}
+    every = {(t, r[0]) for t, k in (("policy_export_lines", "line_id"), ("policy_export_dirty", "row_id"), ("quarantine_ci_smoke", "quarantine_id")) for r in spark.read.parquet(f"{data}/{t}.parquet").select(k).collect()}
+    assert not loaded & failed and loaded | failed == every
+
+
 def test_normalised(spark):
     _, export, _, sources = tables(spark, export=[("kb", "t", "20/03/2026", "2024-03-06T04:14:10"), ("kb", "t", "2026-03-20", "2024-03-05T21:14:10.000000Z"), ("kb", "dài", " sau đó gửi biểu mẫu", "2026-01-02"), ("kb", None, None, None)])
     quarantine = spark.createDataFrame([(1, "ny", "x", "03/20/2026"), (2, "ny", "x", "2026-03-20"), (3, None, None, "20.03.2026")], Q_SCHEMA)

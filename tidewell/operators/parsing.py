@@ -145,7 +145,38 @@ def failed_rows(lines: DataFrame, export: DataFrame, quarantine: DataFrame, sour
 def loaded_lines(lines: DataFrame, sources: DataFrame) -> DataFrame:
     """The valid records of the lines as columns, by an anti-join with the failed ones."""
     parsed = parsed_lines(lines)
-    failed = first_errors(line_errors(parsed, sources, rule_table(lines.sparkSession)))
-    clean = parsed.join(failed.select(F.col("row_key").alias("line_id")), "line_id", "left_anti")
+    clean = _without(parsed, first_errors(line_errors(parsed, sources, rule_table(lines.sparkSession))), "line_id")
     cells = [F.get("csv_cells", F.lit(i)).alias(c) for i, c in enumerate(LAYOUTS["quarantine"])]
     return clean.select("line_id", "file_name", "line_no", "source_system", "layout", *cells)
+
+
+def loaded_export(export: DataFrame, sources: DataFrame) -> DataFrame:
+    """The valid rows of policy_export_dirty with all their columns, by an anti-join with the failed ones."""
+    return _without(export, first_errors(dirty_errors(export, sources, rule_table(export.sparkSession))), "row_id")
+
+
+def loaded_quarantine(quarantine: DataFrame) -> DataFrame:
+    """The valid rows of quarantine_ci_smoke with all their columns, by an anti-join with the failed ones."""
+    return _without(quarantine, first_errors(quarantine_errors(quarantine, rule_table(quarantine.sparkSession))), "quarantine_id")
+
+
+def _without(rows: DataFrame, failed: DataFrame, key: str) -> DataFrame:
+    """``rows`` but those whose ``key`` failed; null keys are compared as equal, as in ``first_errors``."""
+    failed = failed.select(F.col("row_key").alias("__failed_key"))
+    return rows.join(failed, F.col(key).eqNullSafe(F.col("__failed_key")), "left_anti")
+
+
+def loaded_rows(lines: DataFrame, export: DataFrame, quarantine: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every row of the three tables that ``failed_rows`` does not set apart: source_table, row_key and all their columns.
+
+    A column that a table lacks is null in its rows. Empty tables give no rows; all rows of a key that failed are out.
+    """
+    parts = (
+        ("policy_export_lines", "line_id", loaded_lines(lines, sources)),
+        ("policy_export_dirty", "row_id", loaded_export(export, sources)),
+        ("quarantine_ci_smoke", "quarantine_id", loaded_quarantine(quarantine)),
+    )
+    first, *rest = (df.select(F.lit(name).alias("source_table"), F.col(key).alias("row_key"), *df.columns) for name, key, df in parts)
+    for part in rest:
+        first = first.unionByName(part, allowMissingColumns=True)
+    return first

@@ -37,8 +37,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def p5_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    """The valid records of policy_export_lines, as columns."""
-    return parsing.loaded_lines(table(spark, sf, "policy_export_lines"), table(spark, sf, "export_sources"))
+    """The valid rows of all three tables, those of policy_export_lines parsed into columns."""
+    return parsing.loaded_rows(*(table(spark, sf, t) for t in ("policy_export_lines", "policy_export_dirty", "quarantine_ci_smoke", "export_sources")))
 
 
 @query()
