@@ -99,6 +99,26 @@ def test_pairs(spark):
     assert got == {("agent_state", k): v for k, v in want.items()} | {("test_questions", "q1"): "empty"}
 
 
+def test_refusals_behind_a_long_beginning(spark):
+    q = "Ai duyệt yêu cầu nghỉ bù cuối quý của khối văn phòng?"
+    begins = ["Về việc ai duyệt yêu cầu nghỉ bù cuối quý của khối văn phòng trong năm nay thì", "Yêu cầu nghỉ bù cuối quý của khối văn phòng do trưởng bộ phận kho lạnh duyệt trong bảng theo dõi chung"]
+    ends = ["nên rất tiếc tôi không thể trả lời câu hỏi này.", "tôi không có đủ thông tin để trả lời câu hỏi này."]
+    answers = [f"{a} {b}" for a in begins for b in ends]
+    states = spark.createDataFrame([(a, q, a) for a in answers], "run_id string, task string, final_answer string")
+    questions = spark.createDataFrame([], "id string, question string, expected_answer string")
+    assert {r.pair_key: r.defect for r in pairs.flagged(states, questions).collect()} == dict.fromkeys(answers, "refusal")
+
+
+def test_features_of_different_number_are_summed():
+    r = np.random.default_rng(8)
+    tokens = [r.integers(0, 50, n).tolist() for n in (1, 90, 3, 700_000, 700_000, 2)]
+    features, weights = crf.Features.of(tokens), r.normal(size=(50, 3)).astype(np.float32)
+    want = np.array([weights[t].sum(0, dtype=np.float64) for t in tokens])
+    assert np.allclose(features.sums(weights), want, rtol=1e-3, atol=0.1)
+    buckets, owner = features.take(np.array([2, 0, 5]))
+    assert buckets.tolist() == tokens[2] + tokens[0] + tokens[5] and owner.tolist() == [0, 0, 0, 1, 2, 2]
+
+
 # --- packing
 
 

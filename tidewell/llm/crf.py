@@ -7,6 +7,43 @@ from dataclasses import dataclass
 import numpy as np
 
 
+@dataclass
+class Features:
+    """Feature buckets of tokens that have different numbers of them: those of all tokens in a row, and where each begins.
+
+    Every token has one at least.
+    """
+
+    buckets: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, tokens: list[list[int]]) -> Features:
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        return cls(np.array([b for t in tokens for b in t], np.int32), np.cumsum(sizes) - sizes)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The summed weights of each token, in pieces of about a million buckets."""
+        out = np.zeros((len(self), weights.shape[1]), np.float32)
+        first = 0
+        while first < len(self):
+            begin = self.starts[first]
+            stop = max(first + 1, int(np.searchsorted(self.starts, begin + 1_000_000)))
+            end = self.starts[stop] if stop < len(self) else len(self.buckets)
+            out[first:stop] = np.add.reduceat(weights[self.buckets[begin:end]], self.starts[first:stop] - begin, axis=0)
+            first = stop
+        return out
+
+    def take(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of ``tokens`` in a row, and for each the place of its token in ``tokens``."""
+        sizes = np.diff(np.append(self.starts, len(self.buckets)))[tokens]
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.buckets[np.repeat(self.starts[tokens], sizes) + within], np.repeat(np.arange(len(tokens)), sizes)
+
+
 @dataclass
 class Chain:
     """Weights: one row per feature bucket and one column per label; transitions; scores of the first label."""
@@ -16,8 +53,10 @@ class Chain:
     steps: np.ndarray
     begin: np.ndarray
 
-    def emissions(self, features: np.ndarray) -> np.ndarray:
+    def emissions(self, features: np.ndarray | Features) -> np.ndarray:
         """Scores of each token (a row of feature buckets) and label."""
+        if isinstance(features, Features):
+            return features.sums(self.weights)
         out = np.zeros((len(features), len(self.labels)), np.float32)
         for k in range(features.shape[1]):
             out += self.weights[features[:, k]]
@@ -58,7 +97,7 @@ class Chain:
             label = back[t, np.arange(n), label]
 
 
-def trained(features: np.ndarray, gold: np.ndarray, offsets: np.ndarray, labels: tuple[str, ...], buckets: int, epochs: int = 40, rate: float = 0.25, shrink: float = 2e-4, seed: int = 7) -> Chain:
+def trained(features: np.ndarray | Features, gold: np.ndarray, offsets: np.ndarray, labels: tuple[str, ...], buckets: int, epochs: int = 40, rate: float = 0.25, shrink: float = 2e-4, seed: int = 7) -> Chain:
     """Weights by adaptive gradient ascent on the log-likelihood of labelled sequences; the same for the same input."""
     k = len(labels)
     weights, steps, begin = np.zeros((buckets, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32)
@@ -78,8 +117,14 @@ def trained(features: np.ndarray, gold: np.ndarray, offsets: np.ndarray, labels:
             index = np.minimum(offsets[batch][:, None] + np.arange(most), len(features) - 1)
             live = np.arange(most) < size[:, None]
             emission = np.zeros((n, most, k), np.float32)
-            for j in range(features.shape[1]):
-                emission += weights[features[index, j]]
+            if isinstance(features, Features):
+                ids, token = features.take(index[live])
+                emission[live] = Features(ids, np.flatnonzero(np.append(True, token[1:] != token[:-1]))).sums(weights)
+            else:
+                ids = features[index[live]].ravel()
+                token = np.repeat(np.arange(int(live.sum())), features.shape[1])
+                for j in range(features.shape[1]):
+                    emission += weights[features[index, j]]
             ahead = np.zeros((most, n, k), np.float32)
             ahead[0] = emission[:, 0] + begin
             for t in range(1, most):
@@ -104,12 +149,11 @@ def trained(features: np.ndarray, gold: np.ndarray, offsets: np.ndarray, labels:
                 step_gradient -= pair.sum(0)
                 np.add.at(step_gradient, (truth[live[:, t], t - 1], truth[live[:, t], t]), 1)
             flat = gradient[live].astype(np.float32)
-            ids = features[index[live]]
-            order = np.argsort(ids, axis=None, kind="stable")
-            sorted_ids = ids.ravel()[order]
+            order = np.argsort(ids, kind="stable")
+            sorted_ids = ids[order]
             cuts = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
             touched = sorted_ids[cuts]
-            summed = np.add.reduceat(flat[order // ids.shape[1]], cuts, axis=0) / n - shrink * weights[touched]
+            summed = np.add.reduceat(flat[token[order]], cuts, axis=0) / n - shrink * weights[touched]
             seen_w[touched] += summed**2
             weights[touched] += rate * summed / np.sqrt(seen_w[touched])
             step_gradient = step_gradient / n - shrink * steps

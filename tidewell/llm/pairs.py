@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.crf import Chain, trained
+from tidewell.llm.crf import Chain, Features, trained
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Pairs of the labelled table; at most so many are used for training.
 LABELLED = Path(__file__).with_name("labelled_pairs.jsonl")
 LABELLED_ROWS = 2_000
-FEATURE_BITS, FEATURES = 15, 56
+FEATURE_BITS = 15
 # What stands in the place of an answer, and names of languages in questions.
 PLACEHOLDERS = frozenset("null none nil nan n/a tbd todo trống (trống) rỗng (rỗng) [] {} - -- — – . .. ... … ? empty (empty) <empty> undefined".split())
 ASKED = (("en", ("tiếng anh", "in english", "english")), ("vi", ("tiếng việt", "in vietnamese", "vietnamese")))
@@ -109,8 +109,8 @@ def _bucket(x: float) -> int:
     return int(x * 5 + 0.5)
 
 
-def clause_features(question: str, answer: str, ends: dict[str, tuple[int, int]], vocabulary: Vocabulary) -> tuple[list[str], np.ndarray]:
-    """The clauses of an answer, and the feature buckets of each; bucket 0 is empty."""
+def clause_features(question: str, answer: str, ends: dict[str, tuple[int, int]], vocabulary: Vocabulary) -> tuple[list[str], list[list[int]]]:
+    """The clauses of an answer, and the feature buckets of each, as many as it has words and pairs of words."""
     parts = clauses(answer)
     asked = [fold(w) for w in words(question)]
     asked_set, allowed = set(asked), target(question, vocabulary)
@@ -120,7 +120,7 @@ def clause_features(question: str, answer: str, ends: dict[str, tuple[int, int]]
     hits, total = ends.get(last, (0, 0)) if last else (0, 0)
     ending = "closed" if closed else "new" if total < 2 else "never" if hits == 0 else "rare" if hits < 0.03 * total else "some" if hits < 0.2 * total else "often"
     starts_list = answer.lstrip()[:2] in ("- ", "* ", "• ") or bool(re.match(r"\d+[.)]\s", answer.lstrip()))
-    out = np.zeros((len(parts), FEATURES), np.int32)
+    out = []
     for i, part in enumerate(parts):
         found = words(part)
         low = [fold(w) for w in found]
@@ -144,10 +144,9 @@ def clause_features(question: str, answer: str, ends: dict[str, tuple[int, int]]
         if is_last and not closed:
             here += [f"tail={plain[-1] if plain else ''}", f"head={' '.join(plain[:2])}"]
         fits = spoken in allowed.split("+") or spoken == "none"  # words mean something else in a language that was not asked for
-        grams = dict.fromkeys([f"w={w}/{fits}" for w in plain[:14]] + [f"2={a} {b}/{fits}" for a, b in zip(plain[:14], plain[1:15])])
+        grams = dict.fromkeys([f"w={w}/{fits}" for w in plain] + [f"2={a} {b}/{fits}" for a, b in zip(plain, plain[1:])])
         here += list(grams)
-        for k, name in enumerate(here[:FEATURES]):
-            out[i, k] = _name_bucket(name)
+        out.append([_name_bucket(name) for name in here])
     return parts, out
 
 
@@ -205,10 +204,10 @@ def fitted(rows: list[dict], ends: dict[str, tuple[int, int]], epochs: int = 30)
     for r in rows:
         parts, f = clause_features(r["question"], r["answer"], ends, vocabulary)
         if len(parts) == len(r["tags"]):
-            features.append(f)
+            features += f
             gold += [TAGS.index(t) for t in r["tags"]]
             offsets.append(offsets[-1] + len(parts))
-    return PairModel(trained(np.concatenate(features), np.array(gold), np.array(offsets), TAGS, 1 << FEATURE_BITS, epochs), vocabulary, ends)
+    return PairModel(trained(Features.of(features), np.array(gold), np.array(offsets), TAGS, 1 << FEATURE_BITS, epochs), vocabulary, ends)
 
 
 def end_counts(texts: Iterator[str]) -> Counter:
@@ -259,11 +258,11 @@ def tagger(shared):
                 ends = {r["tail"]: (r["hits"] or 0, r["total"] or 0)} if r["tail"] else {}
                 p, f = clause_features(r["question"] or "", r["answer"], ends, model.vocabulary)
                 parts.append(p)
-                features.append(f)
+                features += f
                 offsets.append(offsets[-1] + len(p))
                 kept.append(r)
             if kept:
-                all_features, cuts = np.concatenate(features), np.array(offsets)
+                all_features, cuts = Features.of(features), np.array(offsets)
                 tags = model.chain.decode(model.chain.emissions(all_features), cuts)
                 for i, r in enumerate(kept):
                     got = defect(r["question"] or "", r["answer"], [TAGS[t] for t in tags[cuts[i] : cuts[i + 1]]], parts[i])
