@@ -168,6 +168,15 @@ def test_leaks_by_broadcast_and_by_shuffle(spark, seeds):
     assert {r.doc_id: r.covered for r in rows.collect()}[6] == 32
 
 
+@pytest.mark.parametrize("seeds", [0, 10**6])
+def test_short_items_leak_by_both_ways(spark, seeds):
+    texts = [" ".join(f"{a}{k}" for k in range(n)) for a, n in (("a", 5), ("b", 8), ("c", 10), ("d", 11))]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, passage string")
+    frame = spark.createDataFrame([(i, "x " + " ".join(t.split()[:5]) + " y") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.longest) for r in leaks.tiled(frame, items, broadcast_seeds=seeds).collect()}
+    assert got == {(0, 0, 5), (1, 1, 5), (2, 2, 5)}
+
+
 def test_tiles_do_not_overlap():
     doc, item = np.array([1, 2, 3, 4, 5, 6, 7, 3, 4, 5, 6, 7, 8], np.uint64), np.array([3, 4, 5, 6, 7, 8], np.uint64)
     seeds = [(s, t) for s in range(9) for t in range(2) if list(doc[s : s + 5]) == list(item[t : t + 5])]

@@ -232,7 +232,7 @@ def tiling(shared):
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, seed) of every distinct seed of (id, text), for the shuffled join."""
+    """(id, seed, least) of every seed of (id, text), for the shuffled join; ``least`` is what a pair with this text as item must share."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, _, points, cuts in blocks(without_markup(batch.column(1))):
@@ -240,7 +240,8 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seeds = seed_hashes(words)
             row = np.searchsorted(offsets, np.arange(len(seeds)), "right") - 1
             inside = np.arange(len(seeds)) + SEED_WORDS <= offsets[row + 1] if len(seeds) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[inside]], pa.int64()), pa.array(seeds[inside].view(np.int64))], names=["id", "seed"])
+            least = np.array([least_shared(int(n)) for n in np.diff(offsets)], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[inside]], pa.int64()), pa.array(seeds[inside].view(np.int64)), pa.array(least[row[inside]])], names=["id", "seed", "least"])
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +271,10 @@ def tiled(documents: DataFrame, passages: DataFrame, broadcast_seeds: int = BROA
         rows = items.orderBy("item_id").toArrow()
         shared = spark.sparkContext.broadcast(Items.of(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
         return docs.mapInArrow(tiling(shared), FOUND)
-    seeds = docs.mapInArrow(_seed_rows, "id bigint, seed bigint").withColumnRenamed("id", "doc_id")
-    item_seeds = items.mapInArrow(_seed_rows, "id bigint, seed bigint").withColumnRenamed("id", "item_id")
-    shared_seeds = seeds.join(item_seeds, "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    least = max(1, min(LEAK_WORDS - SEED_WORDS + 1, 2))
-    pairs = shared_seeds.where(F.col("n") >= least).select("doc_id", "item_id")
+    seeds = docs.mapInArrow(_seed_rows, "id bigint, seed bigint, least int").select(F.col("id").alias("doc_id"), "seed")
+    item_seeds = items.mapInArrow(_seed_rows, "id bigint, seed bigint, least int").withColumnRenamed("id", "item_id")
+    shared_seeds = seeds.join(item_seeds, "seed").groupBy("doc_id", "item_id", "least").agg(F.count("*").alias("n"))
+    pairs = shared_seeds.where(F.col("n") >= F.col("least")).select("doc_id", "item_id")
     return pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "passage").mapInArrow(_tile_pairs, FOUND)
 
 
