@@ -11,19 +11,24 @@ def small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, hot: int = 100_000) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, hot: int = 100_000, most_hot: int = 20_000) -> DataFrame:
     """Inner join of ``rows`` with ``groups`` (one row per key, with its number of rows in ``size``), safe from hot keys.
 
-    Groups of more than ``hot`` rows are joined by a broadcast: there are at most rows / ``hot`` of them, and ``small``
-    checks that. Their rows take no part in the shuffled join of the others: ``spread``, a column of many values,
-    scatters them over its tasks.
+    The largest ``most_hot`` groups of those with more than ``hot`` rows are broadcast. A larger group is among them
+    unless it has less than one in ``most_hot`` of all rows, which no task suffers from. Their rows take no part in the
+    shuffled join of the others: ``spread``, a column of many values, scatters them over its tasks.
     """
     value = [c for c in groups.columns if c not in keys]
-    large = small(groups.where(F.col(size) > hot).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*value).alias("__large")))
-    tagged = rows.join(large, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").select(*rows.columns, "__large")
+    matches = lambda: [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    renamed = [F.col(k).alias(f"__{k}") for k in keys]
+    largest = groups.where(F.col(size) > hot).orderBy(F.desc(size), *keys).limit(most_hot)
+    if largest.isEmpty():
+        return rows.join(groups.select(*renamed, F.struct(*value).alias("__found")), matches()).select(*rows.columns, "__found.*")
+    large = F.broadcast(largest.select(*renamed, F.struct(*value).alias("__large")))
+    tagged = rows.join(large, matches(), "left").select(*rows.columns, "__large")
     is_hot = F.col("__large").isNotNull()
     tagged = tagged.withColumns({"__at": F.when(is_hot, F.xxhash64(spread)).otherwise(F.xxhash64(*keys)), "__hot": is_hot})
-    rest = groups.where(F.col(size) <= hot).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*value).alias("__rest"), F.xxhash64(*keys).alias("__to"))
-    on = [F.col("__at") == F.col("__to"), ~F.col("__hot"), *[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]]
+    rest = groups.select(*renamed, F.struct(*value).alias("__rest"), F.xxhash64(*keys).alias("__to"))
+    on = [F.col("__at") == F.col("__to"), ~F.col("__hot"), *matches()]
     joined = tagged.join(rest, on, "left").withColumn("__found", F.coalesce("__large", "__rest"))
     return joined.where("__found IS NOT NULL").select(*rows.columns, "__found.*")
