@@ -10,8 +10,11 @@ few rows per task.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from tidewell.session import stage
 SKIP, SEPARATOR, BASE, MARK = 1, 2, 3, 4
 #: Texts kept per task to compare with; beyond that the task forgets them and goes on.
 TASK_TEXT_CHARS = 32_000_000
+#: A hash is hot if more tasks than this have a row of it; the texts of so many hot hashes, up to so long, are broadcast.
+HOT_REPS, HEADS, HEAD_CHARS = 10_000, 1_000, 50_000
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C55), np.uint64(0xD1342543DE82EF95))
 _WORD_START = mixed(np.array([11, 12], np.uint64))
 FIELD_MARKS = frozenset(";|\n\r  \x0b\x0c\x85")
@@ -35,27 +40,51 @@ def folded(char: str) -> str:
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", char).casefold())
 
 
+def kind_of(char: str) -> int:
+    """Whether a character is skipped, parts words, is a letter or digit, or a mark on one."""
+    category = unicodedata.category(char)
+    if category[0] in "LN":
+        return BASE
+    if category[0] == "M":
+        return MARK
+    return SKIP if category in ("Cf", "Cs", "Co", "Cn") or (category == "Cc" and not char.isspace()) else SEPARATOR
+
+
+def cluster(letter: str) -> str:
+    """A letter with its marks in an order of their own, whatever the order they were written in."""
+    return letter if len(letter) < 3 else letter[0] + "".join(sorted(letter[1:]))
+
+
 class Fold(CodeTable):
-    """The skip-and-fold table."""
+    """The skip-and-fold table. ``symbol`` numbers what a character counts as, alike for all that count alike."""
 
     def __init__(self) -> None:
-        super().__init__(kind=np.uint8, bases=np.uint8, digit=bool, space=bool, field=bool, colon=bool, first=np.uint64, second=np.uint64)
+        super().__init__(kind=np.uint8, bases=np.uint8, digit=bool, space=bool, field=bool, colon=bool, first=np.uint64, second=np.uint64, symbol=np.int32)
+        self.numbers: dict[str, int] = {}
+        self.letters: list[str] = []
+        self.joined: dict[tuple[int, int], int] = {}
+
+    def number(self, letter: str) -> int:
+        got = self.numbers.setdefault(letter, len(self.letters))
+        if got == len(self.letters):
+            self.letters.append(letter)
+        return got
+
+    def with_mark(self, symbol: int, code: int) -> int:
+        """The symbol of a letter with one more mark."""
+        got = self.joined.get((symbol, code))
+        if got is None:
+            got = self.joined[symbol, code] = self.number(cluster(self.letters[symbol] + folded(chr(code))))
+        return got
 
     def fill(self, code: int) -> None:
         char = chr(code)
-        category = unicodedata.category(char)
-        self.digit[code] = category == "Nd"
+        self.digit[code] = unicodedata.category(char) == "Nd"
         self.space[code] = char.isspace()
         self.field[code] = char in FIELD_MARKS
         self.colon[code] = char in ":："
-        if category[0] in "LN":
-            self.kind[code] = BASE
-        elif category[0] == "M":
-            self.kind[code] = MARK
-        elif category in ("Cf", "Cs", "Co", "Cn") or (category == "Cc" and not char.isspace()):
-            self.kind[code] = SKIP
-        else:
-            self.kind[code] = SEPARATOR
+        self.kind[code] = kind_of(char)
+        self.symbol[code] = self.number(cluster(folded(char)) if self.kind[code] == BASE else char)
         # a separator has weights too: between two digits it is part of the number
         weights, bases = np.zeros(2, np.uint64), 0
         with np.errstate(over="ignore"):
@@ -87,8 +116,21 @@ def powers(which: int, most: int) -> np.ndarray:
     return have
 
 
-def text_hashes(points: np.ndarray, offsets: np.ndarray, with_fields: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each row, and how many characters of it count."""
+@dataclass
+class Layout:
+    """Rows without what is skipped: code points, their kinds, offsets, and the segments (fields, or whole rows) to hash."""
+
+    points: np.ndarray
+    kind: np.ndarray
+    offsets: np.ndarray
+    count: np.ndarray  #: letters and digits before each place
+    starts: np.ndarray
+    ends: np.ndarray
+    segment_row: np.ndarray
+    is_fields: np.ndarray
+
+
+def layout(points: np.ndarray, offsets: np.ndarray) -> Layout:
     table = fold()
     table.learn(points)
     rows = len(offsets) - 1
@@ -105,41 +147,51 @@ def text_hashes(points: np.ndarray, offsets: np.ndarray, with_fields: bool = Tru
         digit = table.digit[points]
         inside = digit[:-2] & digit[2:] & (kind[1:-1] == SEPARATOR) & ~table.space[points[1:-1]] & ~row_start[1 : n - 1] & ~row_start[2:n]
         kind[1:-1][inside] = BASE
-    bases = np.where(kind >= BASE, table.bases[points], 0)
     count = np.zeros(n + 1, np.int64)
-    np.cumsum(bases, out=count[1:])
-    words = count[offsets[1:]] - count[offsets[:-1]]
-
-    starts, segment_row = offsets[:-1], np.arange(rows)
-    is_fields = np.zeros(rows, bool)
-    if with_fields and n:
+    np.cumsum(np.where(kind >= BASE, table.bases[points], 0), out=count[1:])
+    starts, segment_row, is_fields = offsets[:-1], np.arange(rows), np.zeros(rows, bool)
+    if n:
         starts, segment_row, is_fields = _fields(table, points, kind, count, offsets, row_start)
     ends = np.append(starts[1:], offsets[-1]) if len(starts) else starts
     ends = np.where(np.append(segment_row[1:], -1) == segment_row, ends, offsets[segment_row + 1]) if len(starts) else ends
+    return Layout(points, kind, offsets, count, starts, ends, segment_row, is_fields)
 
-    begin_count = np.repeat(count[starts], ends - starts)
-    covered = np.zeros(n + 1, np.int64)
-    position = count[:-1] - begin_count if n else count[:0]
-    position = np.maximum(np.where(kind == MARK, position - 1, position), 0)
-    opens = (kind == BASE) & (position > 0)
-    opens[1:] &= kind[:-1] == SEPARATOR
-    if n:
-        opens[0] = False
+
+def _segment_hashes(x: Layout, both: bool = True) -> list[np.ndarray]:
+    """The polynomial hashes of each segment, two or only the first; 0 for one without letters."""
+    table = fold()
+    at = np.flatnonzero(x.kind >= BASE)
+    points, base = x.points[at], x.kind[at] == BASE
+    cuts = np.searchsorted(at, x.starts), np.searchsorted(at, x.ends)
+    position = x.count[at] - np.repeat(x.count[x.starts], cuts[1] - cuts[0])
+    position -= ~base
+    np.maximum(position, 0, out=position)
+    opens = np.flatnonzero(base & (position > 0) & (x.kind[at - 1] == SEPARATOR))
+    filled = np.flatnonzero(cuts[1] > cuts[0])
+    most, out = int(position.max()) if len(at) else 0, []
+    with np.errstate(over="ignore"):
+        for which, weights in enumerate((table.first, table.second)[: 1 + both]):
+            value = weights[points]
+            value[opens] += _WORD_START[which]
+            value *= powers(which, most)[position]
+            segment = np.zeros(len(x.starts), np.uint64)
+            if len(filled):
+                segment[filled] = mixed(np.add.reduceat(value, cuts[0][filled]))
+            segment[x.count[x.ends] == x.count[x.starts]] = 0
+            out.append(segment)
+    return out
+
+
+def text_hashes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each row, and how many characters of it count."""
+    x = layout(points, offsets)
     out = []
     with np.errstate(over="ignore"):
-        for i, weights in enumerate((table.first, table.second)):
-            value = np.where(kind >= BASE, weights[points], np.uint64(0))
-            value[opens] += _WORD_START[i]
-            value *= powers(i, int(position.max()) if n else 0)[position]
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(value, out=total[1:])
-            segment = mixed(total[ends] - total[starts])
-            segment[count[ends] == count[starts]] = 0  # an empty field
-            added = np.zeros(rows + 1, np.uint64)
-            np.add.at(added, segment_row, segment)
-            out.append(np.where(is_fields, mixed(added[:-1] + np.uint64(77 + i)), added[:-1]))
-    del covered
-    return out[0], out[1], words
+        for i, segments in enumerate(_segment_hashes(x)):
+            added = np.zeros(len(x.offsets), np.uint64)
+            np.add.at(added, x.segment_row, segments)
+            out.append(np.where(x.is_fields, mixed(added[:-1] + np.uint64(77 + i)), added[:-1]))
+    return out[0], out[1], x.count[x.offsets[1:]] - x.count[x.offsets[:-1]]
 
 
 def _fields(table, points, kind, count, offsets, row_start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,23 +268,10 @@ def field_spans(text: str) -> list[tuple[int, int]]:
     return [(s, e) for s, e in zip(starts.tolist(), ends) if count[e] > count[s]]
 
 
-_SYMBOLS: dict[str, tuple[int, str]] = {}
-
-
+@functools.lru_cache(100_000)
 def _symbol(char: str) -> tuple[int, str]:
-    got = _SYMBOLS.get(char)
-    if got is None:
-        category = unicodedata.category(char)
-        if category[0] in "LN":
-            got = (BASE, folded(char))
-        elif category[0] == "M":
-            got = (MARK, folded(char))
-        elif category in ("Cf", "Cs", "Co", "Cn") or (category == "Cc" and not char.isspace()):
-            got = (SKIP, "")
-        else:
-            got = (SEPARATOR, "" if char.isspace() else char)
-        _SYMBOLS[char] = got
-    return got
+    kind = kind_of(char)
+    return kind, folded(char) if kind >= BASE else char if kind == SEPARATOR and not char.isspace() else ""
 
 
 def _letters(symbol: str) -> list[str]:
@@ -251,28 +290,28 @@ def _letters(symbol: str) -> list[str]:
 def _stream(text: str, start: int, end: int) -> Iterator[str]:
     """The counting characters of a span one after another, a blank before each word but the first."""
     gap, begun, last_digit, pending = False, False, False, ""
-    cluster = ""
+    letter = ""
     for i in range(start, end):
         kind, symbol = _symbol(text[i])
         if kind == SKIP:
             continue
         if kind == MARK:
-            cluster += symbol
+            letter += symbol
             continue
         if kind == SEPARATOR:
             pending = symbol if last_digit and symbol and not gap else ""
             gap, last_digit = True, False
             continue
         digit = text[i].isdecimal()
-        if cluster:
-            yield cluster if len(cluster) < 3 else cluster[0] + "".join(sorted(cluster[1:]))
+        if letter:
+            yield cluster(letter)
         if gap and begun:
             yield pending if pending and digit else " "
-        *ahead, cluster = _letters(symbol)
+        *ahead, letter = _letters(symbol)
         yield from ahead
         gap, begun, last_digit, pending = False, True, digit, ""
-    if cluster:
-        yield cluster if len(cluster) < 3 else cluster[0] + "".join(sorted(cluster[1:]))
+    if letter:
+        yield cluster(letter)
 
 
 def _same(a: str, s: int, e: int, b: str, t: int, f: int) -> bool:
@@ -283,12 +322,89 @@ def _same(a: str, s: int, e: int, b: str, t: int, f: int) -> bool:
     return next(right, None) is None
 
 
+@functools.lru_cache(100_000)
 def same_id(a: str | None, b: str | None) -> bool:
-    """Whether two ids have the same letters and digits."""
+    """Whether two ids have the same letters and digits, by two pointers that skip the rest."""
     if a == b:
         return True
-    letters = lambda x: (s for s in (_symbol(c) for c in x or "") if s[0] >= BASE)
-    return "".join(s for _, s in letters(a)) == "".join(s for _, s in letters(b))
+    left, right = ((s for kind, s in map(_symbol, x or "") if kind >= BASE) for x in (a, b))
+    # a letter and its marks may come as one or as several characters
+    return all(x == y for x, y in itertools.zip_longest(itertools.chain.from_iterable(left), itertools.chain.from_iterable(right)))
+
+
+def _pointers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text counts: the symbol under every step of its pointer, the offsets of the texts, and which are odd.
+
+    A step is a letter or digit with its marks; it also says whether it begins a word or a field. Fields are walked in the
+    order of their hashes, so that equal ones meet. Odd texts (a character that stands for several letters, a mark on none)
+    are left to the slow comparison.
+    """
+    steps, sizes, odd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    table = fold()
+    for _, _, points, offsets in blocks(texts):
+        x = layout(points, offsets)
+        rows, n = len(offsets) - 1, len(x.points)
+        at = np.flatnonzero(x.kind == BASE)
+        symbol = table.symbol[x.points[at]].astype(np.int64)
+        segment = np.repeat(np.arange(len(x.starts)), x.ends - x.starts)
+        strange = np.zeros(rows, bool)
+        strange[x.segment_row[segment[at[table.bases[x.points[at]] > 1]]]] = True
+        marks = np.flatnonzero(x.kind == MARK)
+        if len(marks):
+            of = np.searchsorted(at, marks) - 1  # the letter that a mark is on
+            none = (of < 0) | (segment[at[np.maximum(of, 0)]] != segment[marks]) if len(at) else np.ones(len(marks), bool)
+            strange[x.segment_row[segment[marks[none]]]] = True
+            marks, of = marks[~none], of[~none]
+            nth = np.arange(len(of)) - np.searchsorted(of, of)
+            for k in range(int(nth.max()) + 1 if len(nth) else 0):
+                here = nth == k
+                pair = (symbol[of[here]] << 21) | x.points[marks[here]]
+                known, back = np.unique(pair, return_inverse=True)
+                symbol[of[here]] = np.array([table.with_mark(p >> 21, p & 0x1FFFFF) for p in known.tolist()])[back]
+        parted = np.zeros(n + 1, np.int64)
+        np.cumsum(x.kind == SEPARATOR, out=parted[1:])
+        of_segment = segment[at]
+        opens = np.zeros(len(at), np.int64)
+        begins = np.ones(len(at), bool)
+        if len(at) > 1:
+            begins[1:] = of_segment[1:] != of_segment[:-1]
+            opens[1:] = parted[at[1:]] > parted[at[:-1]]
+        row = x.segment_row[of_segment]
+        opens[begins] = np.where(x.is_fields[row[begins]], 2, 0)
+        step = symbol * 4 + opens
+        if x.is_fields.any():
+            order = np.lexsort((np.arange(len(at)), _segment_hashes(x, both=False)[0][of_segment] * x.is_fields[row], row))
+            step = step[order]
+        steps.append(step)
+        sizes.append(np.bincount(row, minlength=rows))
+        odd.append(strange)
+    size = np.concatenate(sizes)
+    return np.concatenate(steps), np.append(0, np.cumsum(size)), np.concatenate(odd)
+
+
+def same_pairs(left: list[str], right: list[str]) -> np.ndarray:
+    """``same_words`` of each pair of texts: the two pointers of all pairs move in one comparison.
+
+    Only pairs that it doesn't find equal are compared one by one.
+    """
+    same = np.array([a == b for a, b in zip(left, right)], bool)
+    rest = np.flatnonzero(~same)
+    if not len(rest):
+        return same
+    number: dict[str, int] = {}
+    pair = np.array([[number.setdefault(t, len(number)) for t in (left[i], right[i])] for i in rest.tolist()])
+    steps, offsets, odd = _pointers(pa.array(list(number), pa.large_string()))
+    a, b = pair[:, 0], pair[:, 1]
+    size = np.diff(offsets)
+    fits = np.flatnonzero((size[a] == size[b]) & ~odd[a] & ~odd[b] & (size[a] > 0))
+    length = size[a[fits]]
+    within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    alike = steps[np.repeat(offsets[a[fits]], length) + within] == steps[np.repeat(offsets[b[fits]], length) + within]
+    if len(fits):
+        same[rest[fits]] = np.logical_and.reduceat(alike, np.cumsum(length) - length)
+    for i in np.flatnonzero(~same).tolist():
+        same[i] = same_words(left[i], right[i])
+    return same
 
 
 def id_hashes(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -308,97 +424,148 @@ def id_hashes(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return mixed(total[offsets[1:]] - total[offsets[:-1]])
 
 
-HASHED = "row_id bigint, h1 bigint, h2 bigint, rep bigint, doc_id string, chunk_text string"
-_HASHED = pa.schema([("row_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("rep", pa.int64()), ("doc_id", pa.string()), ("chunk_text", pa.string())])
-
-
-def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash (row_id, doc_id, chunk_text) and join copies within the task.
+def hash_rows(carried: tuple[str, ...] = ()):
+    """For ``mapInArrow`` over (row_id, doc_id, chunk_text, *carried): hash the rows and join copies within the task.
 
     ``rep`` is the row of this task that a row was found equal to; only such rows keep their texts. Texts without a
     letter or digit are left out.
     """
-    seen: dict[tuple[int, int], tuple[int, str, str]] = {}
-    chars = 0
-    for batch in batches:
-        ids, docs, texts = batch.column("row_id"), batch.column("doc_id"), batch.column("chunk_text")
-        n = batch.num_rows
-        h1, h2, words = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        for a, b, points, offsets in blocks(texts):
-            h1[a:b], h2[a:b], words[a:b] = text_hashes(points, offsets)
-        for a, b, points, offsets in blocks(docs):
-            of_id = id_hashes(points, offsets)
-            with np.errstate(over="ignore"):
-                h1[a:b], h2[a:b] = mixed(h1[a:b] + of_id), mixed(h2[a:b] ^ of_id)
-        take = np.flatnonzero(words > 0)
-        k1, k2 = h1.view(np.int64)[take].tolist(), h2.view(np.int64)[take].tolist()
-        rows = ids.take(pa.array(take)).to_pylist()
-        some_docs, some_texts = docs.take(pa.array(take)).to_pylist(), texts.take(pa.array(take)).to_pylist()
-        reps = []
-        for i, key in enumerate(zip(k1, k2)):
-            first = seen.get(key)
-            if first is not None and same_id(first[1], some_docs[i]) and same_words(first[2], some_texts[i]):
-                reps.append(first[0])
-                some_docs[i] = some_texts[i] = None
-                continue
-            reps.append(rows[i])
-            if first is None:
-                seen[key] = (rows[i], some_docs[i], some_texts[i])
-                chars += len(some_texts[i])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, k1, k2, reps, some_docs, some_texts), _HASHED.types)], schema=_HASHED)
-        if chars > TASK_TEXT_CHARS:
-            seen, chars = {}, 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], tuple[int, str, str]] = {}
+        chars = 0
+        for batch in batches:
+            docs, texts = batch.column("doc_id"), batch.column("chunk_text")
+            n = batch.num_rows
+            h1, h2, words = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+            for a, b, points, offsets in blocks(texts):
+                h1[a:b], h2[a:b], words[a:b] = text_hashes(points, offsets)
+            for a, b, points, offsets in blocks(docs):
+                of_id = id_hashes(points, offsets)
+                with np.errstate(over="ignore"):
+                    h1[a:b], h2[a:b] = mixed(h1[a:b] + of_id), mixed(h2[a:b] ^ of_id)
+            take = pa.array(np.flatnonzero(words > 0))
+            kept = batch.take(take)
+            k1, k2 = h1.view(np.int64)[take], h2.view(np.int64)[take]
+            rows, some_docs, some_texts = (kept.column(c).to_pylist() for c in ("row_id", "doc_id", "chunk_text"))
+            again, firsts = [], []
+            for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
+                first = seen.setdefault(key, (rows[i], some_docs[i], some_texts[i]))
+                if first[0] == rows[i] and first[2] is some_texts[i]:
+                    chars += len(some_texts[i])
+                else:
+                    again.append(i)
+                    firsts.append(first)
+            reps = list(rows)
+            same = same_pairs([f[2] for f in firsts], [some_texts[i] for i in again])
+            for i, first, text_is_same in zip(again, firsts, same.tolist()):
+                if text_is_same and same_id(first[1], some_docs[i]):
+                    reps[i], some_docs[i], some_texts[i] = first[0], None, None
+            columns = [kept.column("row_id"), pa.array(k1), pa.array(k2), pa.array(reps, pa.int64()), pa.array(some_docs, pa.string()), pa.array(some_texts, pa.string()), *(kept.column(c) for c in carried)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "h1", "h2", "rep", "doc_id", "chunk_text", *carried])
+            if chars > TASK_TEXT_CHARS:
+                seen, chars = {}, 0
+
+    return run
 
 
 _CLASSES = pa.schema([("rep", pa.int64()), ("other", pa.int32())])
 
 
 def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each row of a run of equal hashes with the run's texts; the input is sorted by hash.
+    """Compare each row of a run of equal hashes with the run's first text; the input is sorted by hash.
 
     Gives (rep, other) only for rows that are no copies of the run's first text: ``other`` numbers their class.
     """
-    key, classes = None, []
+    key, head, classes = None, ("", ""), []
     for batch in batches:
-        found: list[tuple[int, int]] = []
+        n = batch.num_rows
+        if not n:
+            continue
         k1, k2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
-        same = np.zeros(len(k1) + 1, bool)
-        same[1:-1] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-        if len(k1):
-            same[0] = key == (int(k1[0]), int(k2[0]))
-        ids, docs, texts = batch.column("rep"), batch.column("doc_id"), batch.column("chunk_text")
-        for i in np.flatnonzero(same[:-1] | same[1:]).tolist():  # rows that stand alone need no look
-            doc, text = docs[i].as_py(), texts[i].as_py()
-            if not same[i]:
-                classes = [(doc, text)]
+        new = np.ones(n, bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        new[0] = key != (int(k1[0]), int(k2[0]))
+        run = np.maximum.accumulate(np.where(new, np.arange(n), -1))  # where the run began; -1 is before this batch
+        docs, texts = batch.column("doc_id"), batch.column("chunk_text")
+        at = np.flatnonzero(~new)
+        begin = run[at]
+        left = [head if b < 0 else (d, t) for b, d, t in zip(begin.tolist(), *(c.take(pa.array(np.maximum(begin, 0))).to_pylist() for c in (docs, texts)))]
+        right = list(zip(*(c.take(pa.array(at)).to_pylist() for c in (docs, texts))))
+        same = same_pairs([t for _, t in left], [t for _, t in right])
+        found, of_run = [], -1
+        for i, b, (first_doc, _), (doc, text), text_is_same in zip(at.tolist(), begin.tolist(), left, right, same.tolist()):
+            if text_is_same and same_id(first_doc, doc):
                 continue
-            at = next((k for k, (d, t) in enumerate(classes) if same_id(d, doc) and same_words(t, text)), None)
-            if at is None:
-                at = len(classes)
+            if b != of_run:
+                of_run, classes = b, classes if b < 0 else []
+            number = next((k for k, (d, t) in enumerate(classes, 1) if same_id(d, doc) and same_words(t, text)), None)
+            if number is None:
                 classes.append((doc, text))
-            if at:
-                found.append((ids[i].as_py(), at))
-        if len(k1):
-            if not same[len(k1) - 1] and not (same[:-1] | same[1:])[len(k1) - 1]:
-                classes = [(docs[len(k1) - 1].as_py(), texts[len(k1) - 1].as_py())]
-            key = (int(k1[-1]), int(k2[-1]))
+                number = len(classes)
+            found.append((batch.column("rep")[i].as_py(), number))
+        last = int(run[-1])
+        if last >= 0:
+            head = docs[last].as_py(), texts[last].as_py()
+            classes = classes if of_run == last else []
+        key = (int(k1[-1]), int(k2[-1]))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int32())], schema=_CLASSES)
 
 
-def copies(export: DataFrame) -> DataFrame:
+def differ_from_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (..., doc_id, chunk_text, head_doc, head_text) that are no copies of the head they come with."""
+    for batch in batches:
+        texts, heads, docs, head_docs = (batch.column(c).to_pylist() for c in ("chunk_text", "head_text", "doc_id", "head_doc"))
+        same = same_pairs(heads, texts) & np.array([same_id(a, b) for a, b in zip(head_docs, docs)], bool)
+        yield batch.filter(pa.array(~same)).select(["h1", "h2", "rep", "doc_id", "chunk_text"])
+
+
+def _classes(reps: DataFrame) -> DataFrame:
+    """(rep, other) for rows that are no copies of the first one of their hashes."""
+    return reps.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "rep").mapInArrow(compare_runs, "rep bigint, other int")
+
+
+def collisions(reps: DataFrame, keys: DataFrame) -> DataFrame:
+    """(rep, other) for rows whose hashes, but not texts, are those of their group: practically none, yet all are compared.
+
+    Hashes with more than ``HOT_REPS`` rows (a row per map task that holds a copy) don't meet in one task: the text of one of
+    them is broadcast, and each row is compared with it where it stands. There are at most ``HEADS`` such texts of at most
+    ``HEAD_CHARS`` characters; a hash beyond that holds a smaller share of all rows and is compared as a run.
+    """
+    hot = keys.where(F.col("reps") > HOT_REPS).orderBy(F.desc("reps"), "h1", "h2").limit(HEADS).select("head")
+    if hot.isEmpty():
+        return stage(_classes(reps), "collided")
+    heads = reps.join(F.broadcast(hot), F.col("rep") == F.col("head")).where(F.length("chunk_text") <= HEAD_CHARS)
+    heads = stage(heads.select("h1", "h2", F.col("doc_id").alias("head_doc"), F.col("chunk_text").alias("head_text")), "heads")
+    split = reps.join(F.broadcast(heads), ["h1", "h2"], "left")
+    differing = stage(split.where("head_text IS NOT NULL").mapInArrow(differ_from_head, reps.schema), "differing")
+    among = differing.select("rep").join(_classes(differing), "rep", "left").select("rep", (F.coalesce("other", F.lit(0)) + 1).alias("other"))
+    return stage(_classes(split.where("head_text IS NULL").select(*reps.columns)).unionAll(among), "collided")
+
+
+def copies(export: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(first_row_id, copy_row_id): every row that has copies, with the smallest row_id of its group; the first too.
 
     Null doc_id counts as one without letters. Null, empty and signs-only texts have no copies. Texts of any length are
     hashed whole. Row ids should be unique; a repeated one counts as the same row. Empty tables give no rows and further
-    columns are ignored. Texts of three or more ``label: value`` fields are compared with such texts only.
+    columns are ignored but for those in ``carried``, which are handed through. Texts of three or more ``label: value``
+    fields are compared with such texts only.
     """
-    hashed = stage(export.select("row_id", "doc_id", "chunk_text").mapInArrow(hash_rows, HASHED), "hashed")
-    reps = hashed.where("row_id = rep").select("h1", "h2", "rep", "doc_id", "chunk_text")
-    runs = reps.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "rep")
-    collided = stage(runs.mapInArrow(compare_runs, "rep bigint, other int"), "collided")
-    rows = hashed.select("row_id", "h1", "h2", "rep").join(small(collided), "rep", "left").select("row_id", "h1", "h2", F.coalesce("other", F.lit(0)).alias("other"))
-    groups = rows.groupBy("h1", "h2", "other").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n")).where("n > 1")
-    return join_groups(rows, groups, ["h1", "h2", "other"], "n", "row_id").select("first_row_id", F.col("row_id").alias("copy_row_id"))
+    narrow = export.select("row_id", "doc_id", "chunk_text", *carried)
+    types = "".join(f", `{c}` {narrow.schema[c].dataType.simpleString()}" for c in carried)
+    hashed = stage(narrow.mapInArrow(hash_rows(carried), "row_id bigint, h1 bigint, h2 bigint, rep bigint, doc_id string, chunk_text string" + types), "hashed")
+    is_rep = F.col("row_id") == F.col("rep")
+    keys = hashed.groupBy("h1", "h2").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n"), F.count_if(is_rep).alias("reps"), F.min(F.when(is_rep, F.col("rep"))).alias("head"))
+    keys = stage(keys.where("n > 1"), "keys")
+    collided = collisions(hashed.where(is_rep).select("h1", "h2", "rep", "doc_id", "chunk_text"), keys)
+    rows = hashed.select("row_id", "h1", "h2", "rep", *carried)
+    if collided.isEmpty():
+        joined = join_groups(rows.drop("rep"), keys.select("h1", "h2", "first_row_id", "n"), ["h1", "h2"], "n", "row_id")
+    else:
+        rows = rows.join(small(collided), "rep", "left").withColumn("other", F.coalesce("other", F.lit(0))).drop("rep")
+        groups = rows.groupBy("h1", "h2", "other").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n")).where("n > 1")
+        joined = join_groups(rows, groups, ["h1", "h2", "other"], "n", "row_id")
+    return joined.select("first_row_id", F.col("row_id").alias("copy_row_id"), *carried)
 
 
 def found(export: DataFrame) -> DataFrame:
@@ -411,7 +578,9 @@ def collapsed(export: DataFrame) -> DataFrame:
 
     Rows without a letter or digit in their text stand for themselves.
     """
-    counts = copies(export).groupBy("first_row_id").agg(F.count("*").alias("copies"))
-    later = found(export).select(F.col("copy_row_id").alias("row_id"))
-    kept = export.select("row_id", "doc_id", "chunk_text").join(later, "row_id", "left_anti")
-    return kept.join(counts.withColumnRenamed("first_row_id", "row_id"), "row_id", "left").select("row_id", "doc_id", "chunk_text", F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"))
+    members = stage(copies(export), "copies")
+    counts = members.groupBy(F.col("first_row_id").alias("row_id")).agg(F.count("*").alias("copies"))
+    # of each group the first row has the count, the others have none and are left out
+    marks = counts.unionAll(members.where("copy_row_id <> first_row_id").select(F.col("copy_row_id").alias("row_id"), F.lit(0).cast("bigint").alias("copies")))
+    rows = export.select("row_id", "doc_id", "chunk_text").join(marks, "row_id", "left")
+    return rows.where("copies IS NULL OR copies > 0").withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
