@@ -32,3 +32,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     on = [F.col("__at") == F.col("__to"), ~F.col("__hot"), *matches()]
     joined = tagged.join(rest, on, "left").withColumn("__found", F.coalesce("__large", "__rest"))
     return joined.where("__found IS NOT NULL").select(*rows.columns, "__found.*")
+
+
+def join_salted(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, salts: int = 32, most_rows: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` that has few rows for each key, while many rows may have the same key.
+
+    A table of at most ``most_rows`` rows is broadcast. A larger one is repeated ``salts`` times, so that the rows of a hot
+    key, told apart by the hash of ``spread``, meet it in as many tasks.
+    """
+    known = small(table, most_rows)
+    if known is not table:
+        return rows.join(known, keys)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return salted.join(table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"]).drop("__salt")
