@@ -59,7 +59,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p2_current(spark: SparkSession, sf: str) -> DataFrame:
     """The topologically latest values of each group, where missing timestamps are placed by learned precedence."""
-    return representatives.representatives(table(spark, sf, "policy_export_dirty"), table(spark, sf, "export_sources"), missing="learned")
+    return representatives.current(table(spark, sf, "policy_export_dirty"), table(spark, sf, "export_sources"))
 
 
 @query()
