@@ -9,6 +9,7 @@ stand before a full stop there.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.crf import Chain, Features, trained
+from tidewell.operators.joins import join_groups
+from tidewell.session import stage
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Pairs of the labelled table; at most so many are used for training.
@@ -44,6 +47,12 @@ def fold(text: str) -> str:
     return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c))
 
 
+@functools.lru_cache(200_000)
+def _word(word: str) -> tuple[str, int]:
+    """A word folded, and how many of its letters are of another script than the Latin one."""
+    return fold(word), sum(ord(c) > 0x2FF and unicodedata.category(c)[0] == "L" and not 0x1E00 <= ord(c) <= 0x1EFF for c in word)
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
@@ -57,6 +66,8 @@ def is_empty(answer: str | None) -> bool:
     """Null, nothing visible, or only a placeholder."""
     if answer is None:
         return True
+    if len(list(itertools.islice(filter(str.isalnum, answer), 12))) == 12:  # no placeholder has so many letters
+        return False
     seen = visible(answer)
     if not seen or seen.lower() in PLACEHOLDERS or fold(" ".join(answer.split())).strip(".()[]<>{} ") in ("", "null", "none", "n/a", "empty"):
         return True
@@ -72,9 +83,10 @@ def language(text: str, vocabulary: Vocabulary) -> str:
     found = [w for w in words(text) if not w[0].isdigit()]
     if not found:
         return "none"
-    if sum(ord(c) > 0x2FF and unicodedata.category(c)[0] == "L" and not 0x1E00 <= ord(c) <= 0x1EFF for w in found for c in w) > 2:
+    known = [_word(w) for w in found]
+    if sum(n for _, n in known) > 2:
         return "other"
-    low = [fold(w) for w in found]
+    low = [w for w, _ in known]
     vi, en = (sum(w in v for w in low) / len(low) for v in (vocabulary.vi, vocabulary.en))
     if max(vi, en) < 0.4:
         return "vi" if len(_VIETNAMESE.findall(text.lower())) > 0.4 * len(found) else "other"
@@ -112,7 +124,7 @@ def _bucket(x: float) -> int:
 def clause_features(question: str, answer: str, ends: dict[str, tuple[int, int]], vocabulary: Vocabulary) -> tuple[list[str], list[list[int]]]:
     """The clauses of an answer, and the feature buckets of each, as many as it has words and pairs of words."""
     parts = clauses(answer)
-    asked = [fold(w) for w in words(question)]
+    asked = [_word(w)[0] for w in words(question)]
     asked_set, allowed = set(asked), target(question, vocabulary)
     closed = _END.search(answer.strip()) is not None
     odd = any(answer.count(a) != answer.count(b) for a, b in ("()", "[]", "“”", "{}"))
@@ -123,14 +135,14 @@ def clause_features(question: str, answer: str, ends: dict[str, tuple[int, int]]
     out = []
     for i, part in enumerate(parts):
         found = words(part)
-        low = [fold(w) for w in found]
+        low = [_word(w)[0] for w in found]
         plain = ["9" if w[0].isdigit() else w for w in low]
-        letters = [w for w in low if not w[0].isdigit()]
+        letters, here_set = [w for w in low if not w[0].isdigit()], set(low)
         n = max(len(letters), 1)
         vi, en = (_bucket(sum(w in v for w in letters) / n) for v in (vocabulary.vi, vocabulary.en))
         spoken = language(part, vocabulary)
         inside = _bucket(sum(w in asked_set for w in low) / max(len(low), 1))
-        covers = _bucket(sum(w in set(low) for w in asked) / max(len(asked), 1))
+        covers = _bucket(sum(w in here_set for w in asked) / max(len(asked), 1))
         is_last = i == len(parts) - 1
         place = ("only" if len(parts) == 1 else "last" if is_last else "first" if i == 0 else "inner")
         quantity = len(found) <= 4 and bool(found) and found[0][0].isdigit()
@@ -222,25 +234,35 @@ def end_counts(texts: Iterator[str]) -> Counter:
     return out
 
 
-def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
-    for batch in batches:
-        total.update(end_counts(t for t in batch.column("answer").to_pylist() if t))
-        if len(total) > 300_000:  # a task keeps no more pairs than that; the sums are made by the shuffle anyway
-            yield _ends_batch(total)
-            total = Counter()
-    yield _ends_batch(total)
-
+_READ = "source_table string, pair_key string, question string, answer string, tail string, hits bigint, total bigint"
 
-def _ends_batch(total: Counter) -> pa.RecordBatch:
-    keys = list(total)
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([e for _, e in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["tail", "ended", "n"])
 
+def _tails_and_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair (source_table, pair_key, question, answer) with its tail, and the counts of tails that the task has seen.
 
-def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Counts are rows without a source_table. The tails of the pairs are among them, if only with a count of 0.
+    """
+    counts: Counter = Counter()
     for batch in batches:
-        found = [tail(a) if a else None for a in batch.column("answer").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("source_table", "pair_key", "question", "answer")], pa.array(found, pa.string())], names=["source_table", "pair_key", "question", "answer", "tail"])
+        answers = batch.column("answer").to_pylist()
+        found = [tail(a) if a else None for a in answers]
+        for key, n in end_counts(a for a in answers if a).items():
+            counts[key] += n
+        for t in found:
+            if t:
+                counts[t, False] += 0
+        none = pa.nulls(batch.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), none, none], names=[*batch.schema.names, "tail", "hits", "total"])
+        if len(counts) > 300_000:  # a task keeps no more than that; the sums are made by the shuffle anyway
+            yield _ends_batch(counts)
+            counts = Counter()
+    yield _ends_batch(counts)
+
+
+def _ends_batch(counts: Counter) -> pa.RecordBatch:
+    nothing = pa.nulls(len(counts), pa.string())
+    hits = pa.array([n if ended else 0 for (_, ended), n in counts.items()], pa.int64())
+    return pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array([t for t, _ in counts], pa.string()), hits, pa.array(list(counts.values()), pa.int64())], names=["source_table", "pair_key", "question", "answer", "tail", "hits", "total"])
 
 
 def tagger(shared):
@@ -278,20 +300,20 @@ def flagged(states: DataFrame, questions: DataFrame) -> DataFrame:
 
     A null, blank or placeholder answer is empty; a null question counts as one without words. Answers of any length are
     read whole. Repeated keys give a row each; empty tables none; further columns are ignored. A response's last two words
-    are joined with their counts over all responses; a tail that half of them share is one key with few rows per task.
+    are joined with their counts over all responses, tails of very many responses by a broadcast (``join_groups``).
     """
     spark = states.sparkSession
     pairs = states.select(F.lit("agent_state").alias("source_table"), F.col("run_id").alias("pair_key"), F.col("task").alias("question"), F.col("final_answer").alias("answer"))
     pairs = pairs.unionAll(questions.select(F.lit("test_questions").alias("source_table"), F.col("id").alias("pair_key"), "question", F.col("expected_answer").alias("answer")))
-    known = labelled_pairs()
-    own = end_counts(r["answer"] for r in known)
-    counted = pairs.select("answer").mapInArrow(_count_ends, "tail string, ended boolean, n bigint")
-    ends = counted.groupBy("tail").agg(F.sum(F.when(F.col("ended"), F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("total"))
-    tails = pairs.mapInArrow(_tails, "source_table string, pair_key string, question string, answer string, tail string")
+    read = stage(pairs.mapInArrow(_tails_and_ends, _READ), "tails")
+    ends = read.where("source_table IS NULL").groupBy("tail").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
+    pairs = read.where("source_table IS NOT NULL").select("source_table", "pair_key", "question", "answer", "tail")
+    open_pairs = join_groups(pairs.where("tail IS NOT NULL"), stage(ends, "ends"), ["tail"], "total", "pair_key")
     # pairs that end with a sign have nothing to look up and stay out of the join
-    open_pairs = tails.where("tail IS NOT NULL").join(ends, "tail", "left").select("source_table", "pair_key", "question", "answer", "tail", "hits", "total")
     none = F.lit(None).cast("bigint")
-    closed_pairs = tails.where("tail IS NULL").select("source_table", "pair_key", "question", "answer", "tail", none.alias("hits"), none.alias("total"))
+    closed_pairs = pairs.where("tail IS NULL").withColumns({"hits": none, "total": none})
+    known = labelled_pairs()
+    own = end_counts(r["answer"] for r in known)
     mine = {t for r in known if (t := tail(r["answer"]))}
     model = fitted(known, {t: (own[(t, True)], own[(t, True)] + own[(t, False)]) for t in mine})
     return open_pairs.unionAll(closed_pairs).mapInArrow(tagger(spark.sparkContext.broadcast(model)), "source_table string, pair_key string, defect string")
