@@ -16,7 +16,7 @@ def test_garbled_texts_are_found_and_restored(spark):
     clean = [" ".join(r.choices(words, k=25)) + "." for _ in range(400)]
     rows = [(i, t) for i, t in enumerate(clean)]
     broken = {}
-    for i, (page, times) in enumerate([("cp1252", 1), ("latin-1", 1), ("mac_roman", 1), ("cp437", 1), ("latin-1", 2)]):
+    for i, (page, times) in enumerate([("cp1252", 1), ("latin-1", 1), ("mac_roman", 1), ("cp437", 1), ("latin-1", 2), ("latin-1", 4), ("cp1252", 5)]):
         text = clean[i]
         for _ in range(times):
             text = "".join(bytes([b]).decode(page, "replace") if page != "cp1252" or b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in text.encode())
@@ -81,6 +81,15 @@ def test_masking_keeps_the_rest(spark):
     assert {(r.doc_id, r.pii_type) for r in pii.found(docs).collect()} == {(1, "person_name"), (1, "phone"), (1, "email")}
 
 
+def test_long_addresses_are_masked_to_their_ends(spark):
+    long = "nguyen.van.a" + ".b" * 30 + "@" + "a-very-long-sub-domain-name-of-a-department." * 6 + "example.com"
+    docs = spark.createDataFrame([(1, f"Thư: {long}\nĐT: 0549.593.141"), (2, "Thư: thach [at] phong-ban [dot] lienlac [dot] test, gửi trước thứ hai"), (3, "Thư: " + "x" * 50_000 + "@lienlac.test")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    assert got == {1: "Thư: [EMAIL]\nĐT: [PHONE]", 2: "Thư: [EMAIL], gửi trước thứ hai", 3: "Thư: [EMAIL]"}
+    text = "a@b.co " + "x" * 200_000 + " c [at] d [dot] com"
+    assert [text[s:e] for s, e in pii._addresses(text, 0, len(text))] == ["a@b.co", "c [at] d [dot] com"]
+
+
 # --- pairs
 
 

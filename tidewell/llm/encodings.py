@@ -190,9 +190,12 @@ def as_vietnamese_page(run: str) -> tuple[str, int]:
 
 
 def restore(run: str, model: PairModel) -> tuple[str, bool]:
-    """The most probable reading of a garbled run, and whether it was garbled."""
+    """The most probable reading of a garbled run, and whether it was garbled.
+
+    A run that was read wrongly several times is read back as often; each reading leaves fewer characters.
+    """
     garbled, text = False, run
-    for _ in range(3):  # encoded wrongly more than once
+    while True:
         if not _ANY_SIGNATURE.search(text) and not _VIETNAMESE_SIGNATURE.search(text):
             break
         best, best_bits = None, model.mean_bits(text) - GAIN_BITS
@@ -201,7 +204,7 @@ def restore(run: str, model: PairModel) -> tuple[str, bool]:
             pages.append("vietnamese")
         for name in pages:
             read, taken = as_vietnamese_page(text) if name == "vietnamese" else through_utf8(text, name)
-            if not taken or (name == "vietnamese" and any(unicodedata.combining(c) for c in read)):
+            if not taken or len(read) > len(text) or read == text or (name == "vietnamese" and any(unicodedata.combining(c) for c in read)):
                 continue
             bits = model.mean_bits(read)
             foreign = sum(ord(c) > 127 for c in text)
@@ -210,6 +213,8 @@ def restore(run: str, model: PairModel) -> tuple[str, bool]:
                 best, best_bits = read, min(bits, best_bits)
         if best is None:
             break
+        if garbled and len(best) == len(text):  # only the Vietnamese page changes characters one for one, and that once
+            break
         garbled, text = True, best
     return text, garbled
 

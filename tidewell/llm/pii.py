@@ -200,26 +200,57 @@ def fitted(lines: list[str], epochs: int = 12) -> Chain:
     return trained(np.concatenate(all_features), np.concatenate(gold), np.array(offsets), LABELS, 1 << FEATURE_BITS, epochs)
 
 
-# The exact forms of the types.
+# The exact forms of the types; an e-mail address is a local part, a sign and a domain.
+_AT = re.compile(r"\s?[@＠]\s?|\s?\((?:at|AT)\)\s?|\s?\[(?:at|AT)\]\s?|\s?\{(?:at|AT)\}\s?")
+_LOCAL = re.compile(r"[\w.+-]")
+_DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s?\[(?:dot|DOT)\]\s?|\s?\((?:dot|DOT)\)\s?)[\w-]+)+")
 FORMS = {
-    "email": re.compile(r"[\w.+-]+(?:\s?[@＠]\s?|\s?\((?:at|AT)\)\s?|\s?\[(?:at|AT)\]\s?|\s?\{(?:at|AT)\}\s?)[\w-]+(?:(?:\.|\s?\[(?:dot|DOT)\]\s?|\s?\((?:dot|DOT)\)\s?)[\w-]+)+"),
     "phone": re.compile(r"(?<![\w.])(?:\(\+?\d{2,4}\)[ .-]?|\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?|00\d{2}[ .-]?|0|(?=\d{3}[.-]\d{3}[.-]\d{4}))\d[\d .-]{5,14}\d(?!\w)"),
     "id_number": re.compile(r"(?<![\w.])(?:[A-Z]{1,2}\d{6,8}|\d{12}|\d{9}|\d{4} \d{4} \d{4}|\d{3}[. ]\d{3}[. ]\d{3}(?:[. ]\d{3})?)(?!\w)"),
     "person_name": re.compile(r"[^\W\d_][\w'’-]*(?:[ \xa0]+[^\W\d_][\w'’-]*){1,5}"),
     "address": re.compile(r"\d[^\n]*[^\W_]"),
 }
-_CAPITAL = re.compile(r"(?:[^\W\d_a-z])")
+#: Phone and identity numbers are shorter than this, so that all that touch a span lie within this distance of it.
+NUMBER_CHARS = 40
+_JOINTS = frozenset("@＠()[]{}")
+
+
+def _address_run(text: str, start: int, end: int) -> tuple[int, int]:
+    """The run of characters around a span that an e-mail address could fill: a blank is part of it only beside a sign."""
+    goes_on = lambda i: not text[i].isspace() or (0 < i < len(text) - 1 and (text[i - 1] in _JOINTS or text[i + 1] in _JOINTS) and text[i] != "\n")
+    while start > 0 and goes_on(start - 1):
+        start -= 1
+    while end < len(text) and goes_on(end):
+        end += 1
+    return start, end
+
+
+def _addresses(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """E-mail addresses in a run, in order, in time linear in its length."""
+    last = start
+    for at in _AT.finditer(text, start, end):
+        domain = _DOMAIN.match(text, at.end(), end)
+        begin = at.start()
+        while begin > last and _LOCAL.match(text[begin - 1]):
+            begin -= 1
+        if domain and begin < at.start():
+            yield begin, domain.end()
+            last = domain.end()
 
 
 def exact(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
-    """The exact item of a type that a marked span stands for, or None."""
+    """The exact item of a type that a marked span stands for, or None. Items of any length are found to their ends."""
     if kind in ("email", "phone", "id_number"):
-        low, high = max(text.rfind("\n", 0, start) + 1, start - 40), end + 40
+        if kind == "email":
+            items = _addresses(text, *_address_run(text, start, end))
+        else:
+            low, high = max(text.rfind("\n", 0, start) + 1, start - NUMBER_CHARS), min(end + NUMBER_CHARS, len(text))
+            items = (m.span() for m in FORMS[kind].finditer(text, low, high))
         best = None
-        for m in FORMS[kind].finditer(text, low, min(high, len(text))):
-            overlap = min(m.end(), end) - max(m.start(), start)
+        for s, e in items:
+            overlap = min(e, end) - max(s, start)
             if overlap > 0 and (best is None or overlap > best[0]):
-                best = (overlap, m.start(), m.end())
+                best = (overlap, s, e)
         if best is None or best[0] * 2 < min(end - start, best[2] - best[1]):
             return None
         if kind == "phone" and not 8 <= sum(c.isdigit() for c in text[best[1] : best[2]]) <= 15:
@@ -292,7 +323,7 @@ def spans(chain: Chain, column: pa.Array) -> Iterator[tuple[int, str, list[tuple
             text = column[first + row].as_py()
             out, last = [], 0
             for s, e, kind in marked:
-                got = exact(text, s, e, kind)
+                got = exact(text, s, e, kind) if e > last else None  # what an item before holds is part of it
                 if got and got[0] >= last:
                     out.append((*got, kind))
                     last = got[1]
