@@ -162,6 +162,26 @@ def test_packing_is_whole(spark):
         packing.packed(docs, spark.createDataFrame([("w", 0)], "window_name string, capacity_tokens int"))
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_a_wide_window_by_broadcast_and_by_blocks(spark, most, monkeypatch):
+    """Texts longer than 2**19 tokens, many of the same length, and shards of few lengths."""
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(packing.combined, "__defaults__", (5,))
+    sizes = [530_000, 69_000, 599_999, 20, *[7 * (i % 23) + 1 for i in range(900)], *[3_000] * 400]
+    monkeypatch.setattr(packing, "token_counts", lambda *_: spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, tokens int"))
+    windows = spark.createDataFrame([("w", 600_000), ("v", 100)], "window_name string, capacity_tokens int")
+    got = packing.packed(spark.createDataFrame([], "doc_id bigint, text string"), windows).collect()
+    filled, whole = {}, {}
+    for r in got:
+        filled[r.window_name, r.container] = filled.get((r.window_name, r.container), 0) + r.tokens
+        whole[r.window_name, r.doc_id] = whole.get((r.window_name, r.doc_id), 0) + r.tokens
+    assert all(n <= {"w": 600_000, "v": 100}[w] for (w, _), n in filled.items())
+    assert whole == {(w, i): n for w in "wv" for i, n in enumerate(sizes)}
+    assert {c for w, c in filled if w == "w"} == set(range(1, 1 + sum(w == "w" for w, _ in filled)))
+    with pytest.raises(ValueError):
+        packing.packed(spark.createDataFrame([], "doc_id bigint, text string"), windows.unionAll(spark.createDataFrame([("w", 5)], windows.schema)))
+
+
 # --- leaks
 
 
