@@ -34,14 +34,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return joined.where("__found IS NOT NULL").select(*rows.columns, "__found.*")
 
 
-def join_salted(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, salts: int = 32, most_rows: int = 100_000) -> DataFrame:
-    """Inner join of ``rows`` with a ``table`` that has few rows for each key, while many rows may have the same key.
+def join_salted(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, salts: int = 64, hot: int = 100_000, most_hot: int = 20_000, most_rows: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` that may have several rows for a key, while very many rows may have the same key.
 
-    A table of at most ``most_rows`` rows is broadcast. A larger one is repeated ``salts`` times, so that the rows of a hot
-    key, told apart by the hash of ``spread``, meet it in as many tasks.
+    A table of at most ``most_rows`` rows is broadcast. Otherwise the ``most_hot`` most frequent keys of those with more than
+    ``hot`` rows are split: their rows, told apart by the hash of ``spread``, meet copies of the table's rows in ``salts``
+    tasks. ``rows`` are read twice for that. Null keys join nothing.
     """
     known = small(table, most_rows)
     if known is not table:
         return rows.join(known, keys)
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return salted.join(table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"]).drop("__salt")
+    frequent = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).orderBy(F.desc("__n"), *keys).limit(most_hot)
+    frequent = F.broadcast(frequent.select(*keys, F.lit(True).alias("__hot")))
+    salted = rows.join(frequent, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+    copies = table.join(frequent, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return salted.join(copies, [*keys, "__salt"]).drop("__salt")
