@@ -207,6 +207,17 @@ def test_short_items_leak_by_both_ways(spark, seeds):
 
 
 def test_tiles_do_not_overlap():
-    doc, item = np.array([1, 2, 3, 4, 5, 6, 7, 3, 4, 5, 6, 7, 8], np.uint64), np.array([3, 4, 5, 6, 7, 8], np.uint64)
-    seeds = [(s, t) for s in range(9) for t in range(2) if list(doc[s : s + 5]) == list(item[t : t + 5])]
-    assert leaks.tiles(doc, item, np.array([s for s, _ in seeds]), np.array([t for _, t in seeds])) == [(7, 0, 6)]
+    doc, item = [1, 2, 3, 4, 5, 6, 7, 3, 4, 5, 6, 7, 8], [3, 4, 5, 6, 7, 8]
+    seeds = [(s, t) for s in range(9) for t in range(2) if doc[s : s + 5] == item[t : t + 5]]
+    assert leaks.tiles(np.array([s for s, _ in seeds]), np.array([t for _, t in seeds]), 6) == [(7, 0, 6)]
+
+
+def test_a_seed_that_all_documents_share(spark, monkeypatch):
+    """Both ways agree where one phrase stands in every document and every item; repeated documents give a row each."""
+    monkeypatch.setattr(leaks.join_salted, "__defaults__", (4, 10, 5, 0))
+    phrase = "theo quy định hiện hành của công ty"
+    items = spark.createDataFrame([(i, f"{phrase} " + " ".join(f"i{i}x{k}" for k in range(20))) for i in range(4)], "item_id bigint, passage string")
+    docs = [(d, f"{phrase} và {phrase} " + " ".join(f"i{d % 5}x{k}" for k in range(d % 7, 20))) for d in range(60)] + [(3, f"{phrase} " + " ".join(f"i1x{k}" for k in range(20)))] * 2
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = [sorted(tuple(r) for r in leaks.tiled(frame, items, broadcast_seeds=n).collect()) for n in (0, 10**6)]
+    assert got[0] == got[1] and len(got[0]) > 48

@@ -9,6 +9,7 @@ so that coverage of the item tells what the longest piece alone doesn't.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -17,10 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.textblocks import CodeTable, blocks, mixed
+from tidewell.operators.joins import join_salted
+from tidewell.session import stage
 
 #: Words of a seed, which is also the shortest tile.
 SEED_WORDS = 5
@@ -153,10 +157,10 @@ def least_shared(item_words: int) -> int:
     return max(1, min(LEAK_WORDS - SEED_WORDS + 1, int(np.ceil(LEAK_COVERAGE * item_words / SEED_WORDS))))
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray) -> list[tuple[int, int, int]]:
+def tiles(doc_at: np.ndarray, item_at: np.ndarray, item_words: int) -> list[tuple[int, int, int]]:
     """Greedy tiling of one pair from its shared seeds: (start in doc, start in item, words), the longest first.
 
-    Ties go to the earlier place in the item, then in the document.
+    Seeds that follow each other in both texts make a match. Ties go to the earlier place in the item, then in the document.
     """
     diagonal = doc_at - item_at
     order = np.lexsort((doc_at, diagonal))
@@ -164,12 +168,10 @@ def tiles(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.nda
     cuts = np.flatnonzero((np.diff(d) != 1) | (np.diff(diagonal) != 0)) + 1
     heap = []
     for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(d)).tolist()):
-        s, length, shift = int(d[a]), b - a + SEED_WORDS - 1, int(diagonal[a])
-        if np.array_equal(doc[s : s + length], item[s - shift : s - shift + length]):
-            heap.append((-length, s - shift, s))
+        heap.append((-(b - a + SEED_WORDS - 1), int(d[a] - diagonal[a]), int(d[a])))
     heapq.heapify(heap)
     used_doc: set[int] = set()
-    used_item = np.zeros(len(item), bool)
+    used_item = np.zeros(item_words, bool)
     out = []
     while heap:
         minus, i, s = heapq.heappop(heap)
@@ -207,14 +209,18 @@ def tiling(shared):
                 hit = np.flatnonzero(items.mask[(seeds & np.uint64((1 << 22) - 1)).astype(np.int64)])
                 low, high = np.searchsorted(items.seeds, seeds[hit], "left"), np.searchsorted(items.seeds, seeds[hit], "right")
                 hit, low, high = (x[high > low] for x in (hit, low, high))
-                row = np.searchsorted(offsets, hit, "right") - 1
-                inside = hit + SEED_WORDS <= offsets[row + 1] if len(hit) else np.zeros(0, bool)
+                row, inside = _row_of(hit, offsets)
                 hit, low, high, row = (x[inside] for x in (hit, low, high, row))
                 many = high - low
                 at = np.repeat(hit - offsets[row], many)
                 row = np.repeat(row, many)
                 entry = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
                 item, item_at = items.seed_item[entry], items.seed_at[entry]
+                # the words of a seed are compared too, not only its rolling hash
+                same = np.ones(len(row), bool)
+                for k in range(SEED_WORDS):
+                    same &= words[offsets[row] + at + k] == items.words[items.offsets[item] + item_at + k]
+                row, at, item, item_at = (x[same] for x in (row, at, item, item_at))
                 pair = row * len(items.ids) + item
                 order = np.argsort(pair, kind="stable")
                 cuts2 = np.flatnonzero(np.diff(pair[order])) + 1
@@ -223,7 +229,7 @@ def tiling(shared):
                     if not len(k) or len(k) < least[item[k[0]]]:
                         continue
                     r, i = int(row[k[0]]), int(item[k[0]])
-                    found = tiles(words[offsets[r] : offsets[r + 1]], items.words[items.offsets[i] : items.offsets[i + 1]], at[k], item_at[k])
+                    found = tiles(at[k], item_at[k], int(item_words[i]))
                     if found:
                         out.append((ids[first + r].as_py(), int(items.ids[i]), found[0][2], sum(n for _, _, n in found), int(item_words[i])))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(_FOUND.types)], schema=_FOUND)
@@ -231,29 +237,75 @@ def tiling(shared):
     return run
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, seed, least) of every seed of (id, text), for the shuffled join; ``least`` is what a pair with this text as item must share."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for first, _, points, cuts in blocks(without_markup(batch.column(1))):
-            words, offsets = word_hashes(points, cuts)
-            seeds = seed_hashes(words)
-            row = np.searchsorted(offsets, np.arange(len(seeds)), "right") - 1
-            inside = np.arange(len(seeds)) + SEED_WORDS <= offsets[row + 1] if len(seeds) else np.zeros(0, bool)
-            least = np.array([least_shared(int(n)) for n in np.diff(offsets)], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[inside]], pa.int64()), pa.array(seeds[inside].view(np.int64)), pa.array(least[row[inside]])], names=["id", "seed", "least"])
+#: Seeds of the items in a bit mask of fixed size, by which documents leave their other seeds out before the shuffle.
+MASK_BITS = 1 << 26
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tile each row (doc_id, item_id, text, passage)."""
-    for batch in batches:
+def _row_of(at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each seed, and whether all words of the seed are in it."""
+    row = np.searchsorted(offsets, at, "right") - 1
+    return row, at + SEED_WORDS <= offsets[row + 1] if len(at) else np.zeros(0, bool)
+
+
+def _seed_rows(mask=None):
+    """For ``mapInArrow`` over (id, text): a row (id, row, words, seed, check, at) for every seed whose bit is in the mask.
+
+    ``row`` tells rows with the same id apart; ``check`` is a second hash of the seed's words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(mask.value, np.uint8) if mask else None
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, last, points, cuts in blocks(without_markup(batch.column(1))):
+                words, offsets = word_hashes(points, cuts)
+                seeds, check = seed_hashes(words), seed_hashes(mixed(words))
+                at = np.arange(len(seeds))
+                if bits is not None:
+                    bit = (seeds % np.uint64(MASK_BITS)).astype(np.int64)
+                    at = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                row, inside = _row_of(at, offsets)
+                at, row = at[inside], row[inside]
+                columns = (ids[first + row], number + row, np.diff(offsets)[row].astype(np.int32), seeds[at].view(np.int64), check[at].view(np.int64), (at - offsets[row]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "row", "words", "seed", "check", "at"])
+                number += last - first
+
+    return run
+
+
+_SEEDS = "id bigint, row bigint, words int, seed bigint, check bigint, at int"
+
+
+def _mask(item_seeds: DataFrame) -> bytes:
+    """The bit mask of the items' seeds: 8 MB, however many there are."""
+    bit = F.col("seed").bitwiseAND(MASK_BITS - 1) + 1
+    parts = item_seeds.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(MASK_BITS // 8, np.uint8)
+    for part, bits in parts.toLocalIterator():
+        out[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bytes(bits), np.uint8)
+    return out.tobytes()
+
+
+def _tile_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tile pairs whose shared seeds (doc_id, row, item_id, item_words, at, item_at) come one behind the other."""
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        table = pa.Table.from_batches([b for b in (rest, batch) if b is not None]).combine_chunks() if rest is not None or batch is not None else None
+        if table is None or not table.num_rows:
+            continue
+        row, item, doc, words, at, item_at = (table.column(c).to_numpy() for c in ("row", "item_id", "doc_id", "item_words", "at", "item_at"))
+        cuts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
+        ends = np.append(cuts[1:], len(row))
+        if batch is not None:  # the last pair may go on in the next batch
+            rest = table.slice(int(cuts[-1])).combine_chunks().to_batches()[0]
+            cuts, ends = cuts[:-1], ends[:-1]
         out = []
-        for doc_id, item_id, text, passage in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "passage"))):
-            one = type("One", (), {"value": Items.of([item_id], [passage])})
-            table = pa.record_batch([pa.array([doc_id], pa.int64()), pa.array([text], pa.string())], names=["doc_id", "text"])
-            for found in tiling(one)(iter([table])):
-                out += found.to_pylist()
-        yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
+        for a, b in zip(cuts.tolist(), ends.tolist()):
+            if b - a >= least_shared(int(words[a])):
+                found = tiles(at[a:b], item_at[a:b], int(words[a]))
+                out.append((int(doc[a]), int(item[a]), found[0][2], sum(n for _, _, n in found), int(words[a])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(_FOUND.types)], schema=_FOUND)
 
 
 def tiled(documents: DataFrame, passages: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -262,6 +314,10 @@ def tiled(documents: DataFrame, passages: DataFrame, broadcast_seeds: int = BROA
     ``longest`` is the longest tile in words, ``covered`` the words of all tiles of five words or more. Null and empty texts
     and items of less than five words give nothing; texts of any length are tiled whole; repeated documents give a row
     each; of items with the same id one is taken; empty tables give no rows; further columns are ignored.
+
+    With more than ``broadcast_seeds`` seeds the items don't go to every task, with the same result: documents send the
+    seeds in the items' mask through a join, in which frequent ones are split, and pairs are tiled from their shared
+    seeds. No text is shuffled.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
@@ -271,11 +327,12 @@ def tiled(documents: DataFrame, passages: DataFrame, broadcast_seeds: int = BROA
         rows = items.orderBy("item_id").toArrow()
         shared = spark.sparkContext.broadcast(Items.of(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
         return docs.mapInArrow(tiling(shared), FOUND)
-    seeds = docs.mapInArrow(_seed_rows, "id bigint, seed bigint, least int").select(F.col("id").alias("doc_id"), "seed")
-    item_seeds = items.mapInArrow(_seed_rows, "id bigint, seed bigint, least int").withColumnRenamed("id", "item_id")
-    shared_seeds = seeds.join(item_seeds, "seed").groupBy("doc_id", "item_id", "least").agg(F.count("*").alias("n"))
-    pairs = shared_seeds.where(F.col("n") >= F.col("least")).select("doc_id", "item_id")
-    return pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "passage").mapInArrow(_tile_pairs, FOUND)
+    item_seeds = stage(items.mapInArrow(_seed_rows(), _SEEDS), "item-seeds").select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), "seed", "check", F.col("at").alias("item_at"))
+    mask = spark.sparkContext.broadcast(_mask(item_seeds))
+    seeds = stage(docs.mapInArrow(_seed_rows(mask), _SEEDS), "seeds").select(F.col("id").alias("doc_id"), "row", "seed", "check", "at")
+    met = join_salted(seeds, item_seeds, ["seed", "check"], "row")
+    pairs = met.select("doc_id", "row", "item_id", "item_words", "at", "item_at").repartition("row", "item_id").sortWithinPartitions("row", "item_id")
+    return pairs.mapInArrow(_tile_sorted, FOUND)
 
 
 def found(documents: DataFrame, passages: DataFrame) -> DataFrame:
