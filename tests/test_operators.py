@@ -134,7 +134,7 @@ def test_files(spark, tmp_path):
     assert sorted(r.a for r in rows.collect()) == [1, 2] and [r.value for r in broken.collect()] == ["not json"]
     files.write_csv(spark.createDataFrame([], "a string, b string"), str(tmp_path / "none"), ["a", "b"])
     assert (tmp_path / "none/part-00000.csv").read_bytes() == b"a,b\r\n"
-    files.write_manifest(str(tmp_path / "m.json"), {"run_id": "é"})
+    files.write_json(spark, str(tmp_path / "m.json"), {"run_id": "é"})
     assert json.loads((tmp_path / "m.json").read_text(encoding="utf-8")) == {"run_id": "é"}
     assert "| N/A |" in files.markdown_table(spark.createDataFrame([(None,)], "a string"))
     (tmp_path / "docs").mkdir()

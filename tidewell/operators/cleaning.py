@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import folded_spaces, strip
-from tidewell.operators.joins import small
+from tidewell.operators.joins import join_groups, small
+from tidewell.session import stage
 
 ISO, DAY_FIRST = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^([0-9]{2})/([0-9]{2})/([0-9]{4})$"
 
@@ -53,18 +54,19 @@ def tagged(rows: DataFrame, rules: list[Rule], order: str = "row_id", key: str =
     """``rows`` with ``reason``: the first rule that fails, or ``duplicate_chunk_text``, or null for clean rows.
 
     Of rows that pass all rules and have equal texts (case and white space aside) the one first in ``order`` stays; only
-    those take part. The first of each text is found by an aggregate before the join, so that a text on a third of all
-    rows is one row in the shuffle per task.
+    those take part. The first of each repeated text is found by an aggregate, to which a task sends a text once; rows
+    come to it by ``join_groups``, so that a text on a third of all rows meets in no task. Rows that failed a rule have
+    no text to join on and are scattered by ``order``. Texts are compared whole, their hash only places them.
     """
     reason = F.lit(None).cast("string")
     for rule in reversed(rules):
         reason = F.when(rule.failed, F.lit(rule.reason)).otherwise(reason)
-    rows = rows.withColumn("__reason", reason).withColumn("__key", F.xxhash64(folded_spaces(F.col(key))))
-    firsts = rows.where("__reason IS NULL").groupBy(F.col("__key").alias("__of")).agg(F.min(order).alias("__first"))
-    scattered = F.when(F.col("__reason").isNull(), F.col("__key"))
-    out = rows.withColumn("__on", scattered).join(firsts, F.col("__on") == F.col("__of"), "left")
+    rows = rows.withColumn("__reason", reason).withColumn("__text", F.when(F.col("__reason").isNull(), folded_spaces(F.col(key))))
+    rows = rows.withColumn("__place", F.when(F.col("__text").isNull(), F.xxhash64(order)).otherwise(F.xxhash64("__text")))
+    firsts = rows.where("__reason IS NULL").groupBy("__place", "__text").agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    out = join_groups(rows, stage(firsts, "firsts"), ["__place", "__text"], "__n", order, how="left")
     repeated = F.col("__reason").isNull() & (F.col(order) > F.col("__first"))
-    return out.withColumn("reason", F.when(repeated, "duplicate_chunk_text").otherwise(F.col("__reason"))).drop("__reason", "__key", "__on", "__of", "__first")
+    return out.withColumn("reason", F.when(repeated, "duplicate_chunk_text").otherwise(F.col("__reason"))).drop("__reason", "__text", "__place", "__first", "__n")
 
 
 def rewritten(rows: DataFrame, document: str, old: str, new: str, mark: str) -> DataFrame:

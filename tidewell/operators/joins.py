@@ -11,8 +11,8 @@ def small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, hot: int = 100_000, most_hot: int = 20_000) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (one row per key, with its number of rows in ``size``), safe from hot keys.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, hot: int = 100_000, most_hot: int = 20_000, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``groups`` (one row per key, with its number of rows in ``size``), safe from hot keys.
 
     The largest ``most_hot`` groups of those with more than ``hot`` rows are broadcast. A larger group is among them
     unless it has less than one in ``most_hot`` of all rows, which no task suffers from. Their rows take no part in the
@@ -23,7 +23,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     renamed = [F.col(k).alias(f"__{k}") for k in keys]
     largest = groups.where(F.col(size) > hot).orderBy(F.desc(size), *keys).limit(most_hot)
     if largest.isEmpty():
-        return rows.join(groups.select(*renamed, F.struct(*value).alias("__found")), matches()).select(*rows.columns, "__found.*")
+        return rows.join(groups.select(*renamed, F.struct(*value).alias("__found")), matches(), how).select(*rows.columns, "__found.*")
     large = F.broadcast(largest.select(*renamed, F.struct(*value).alias("__large")))
     tagged = rows.join(large, matches(), "left").select(*rows.columns, "__large")
     is_hot = F.col("__large").isNotNull()
@@ -31,7 +31,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     rest = groups.select(*renamed, F.struct(*value).alias("__rest"), F.xxhash64(*keys).alias("__to"))
     on = [F.col("__at") == F.col("__to"), ~F.col("__hot"), *matches()]
     joined = tagged.join(rest, on, "left").withColumn("__found", F.coalesce("__large", "__rest"))
-    return joined.where("__found IS NOT NULL").select(*rows.columns, "__found.*")
+    if how == "inner":
+        joined = joined.where("__found IS NOT NULL")
+    return joined.select(*rows.columns, "__found.*")
 
 
 def join_salted(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, salts: int = 64, hot: int = 100_000, most_hot: int = 20_000, most_rows: int = 100_000) -> DataFrame:

@@ -91,8 +91,7 @@ def displaced(text: str = "chunk_text", second: str = "effective_date", third: s
 
     ``ran on`` is asked only of rows whose ``second`` names no date: it holds the rest of a sentence, seen from the blank
     behind the comma that parted it, from a decimal comma between two digits, or from a phrase of four words or more.
-    ``took in`` needs both following columns empty, and the end of the text (or of its first line) in the shape of two
-    fields; that they are a date and an instant is for the caller to check on ``tail_date`` and ``tail_instant``.
+    ``took in`` needs both following columns empty, and the end of a line of the text in the shape of two fields; that they are a date and an instant is for the caller to check on ``tail_date`` and ``tail_instant``.
     """
     t, s = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(second), F.lit(""))
     ran_on = s.rlike(r"^\s+\p{L}") | (t.rlike(r"\d$") & s.rlike(r"^\d") & s.rlike(r"\p{L}")) | s.rlike(r"\p{L}+\s+\p{L}+\s+\p{L}+\s+\p{L}+")
@@ -100,8 +99,8 @@ def displaced(text: str = "chunk_text", second: str = "effective_date", third: s
     return ran_on & (trimmed(s) != ""), took_in
 
 
-#: The two fields that a text with broken quoting took in: at its end, or at the end of its first record.
-TAIL = r'(?s),"?((?:[A-Za-z]+ \d{1,2}, \d{4}|\d{1,2} tháng \d{1,2}, \d{4})|[^,"\n]{0,40})"?,"?((?:[A-Z][a-z]{2}, [^,"\n]{0,40})|(?:[A-Z][a-z]{2,8} \d{1,2}, \d{4}[^,"\n]{0,20})|[^,"\n]{0,45})"?\s*(?:\n.*)?$'
+#: Two fields at the end of a line of a text, as one with broken quoting took them in.
+TAIL = r'(?m),"?((?:[A-Za-z]+ \d{1,2}, \d{4}|\d{1,2} tháng \d{1,2}, \d{4})|[^,"\n]*)"?,"?((?:[A-Z][a-z]{2}, [^,"\n]*)|(?:[A-Z][a-z]{2,8} \d{1,2}, \d{4}[^,"\n]*)|[^,"\n]*)"?[ \t\r]*$'
 
 
 def dirty_errors(export: DataFrame, sources: DataFrame, rules: DataFrame) -> DataFrame:
@@ -109,7 +108,8 @@ def dirty_errors(export: DataFrame, sources: DataFrame, rules: DataFrame) -> Dat
     with_source = export.select("row_id", "source_system", "chunk_text", "effective_date", "exported_at").join(small(source_rules(sources)), "source_system", "left")
     ran_on, took_in = displaced()
     tailed = with_source.withColumns({"__took": took_in, "__ran": ran_on})
-    suspects = tailed.where("__took").select("row_id", "default_tz", "date_order", F.regexp_extract("chunk_text", TAIL, 1).alias("tail_date"), F.regexp_extract("chunk_text", TAIL, 2).alias("tail_instant"))
+    tails = F.arrays_zip(*[F.regexp_extract_all("chunk_text", F.lit(TAIL), F.lit(i)).alias(name) for i, name in ((1, "tail_date"), (2, "tail_instant"))])
+    suspects = tailed.where("__took").select("row_id", "default_tz", "date_order", F.inline(tails))
     suspects = with_moments(suspects, {"d": "tail_date", "x": "tail_instant"}, "default_tz", "date_order")
     took = suspects.where(F.col("x_micros").isNotNull() | (F.col("d_date").isNotNull() & (F.trim("tail_instant") == "")))
     key = lambda df, rank, reason: df.select(F.lit("policy_export_dirty").alias("source_table"), F.col("row_id").alias("row_key"), F.lit(rank).alias("rank"), F.lit(reason).alias("reason"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.joins import small
+from tidewell.sources import storage
+
 
 def upserted(previous: DataFrame, current: DataFrame, key: str, prune: bool = True) -> DataFrame:
     """``current``, and without ``prune`` the rows of ``previous`` whose key it lacks."""
@@ -21,38 +22,34 @@ def upserted(previous: DataFrame, current: DataFrame, key: str, prune: bool = Tr
 def changes(keys: DataFrame, run: str, key: str) -> DataFrame:
     """(run, kept, added, pruned): how each run's distinct keys differ from those of the run before it (by name).
 
-    Runs are few and numbered by a window over their names; keys are compared by one aggregate per key and pair of runs.
+    Runs are numbered by a window over their distinct names; keys are compared by one aggregate per key and pair of runs.
     """
-    from pyspark.sql import Window
-
     runs = keys.select(F.col(run).alias("__run")).distinct().withColumn("__no", F.row_number().over(Window.orderBy("__run")))
-    numbered = keys.select(F.col(run).alias("__run"), F.col(key).alias("__key")).distinct().join(F.broadcast(runs), "__run")
+    numbered = keys.select(F.col(run).alias("__run"), F.col(key).alias("__key")).distinct().join(small(runs), "__run")
     both = numbered.select(F.inline(F.array(F.struct(F.col("__no").alias("no"), F.lit(1).alias("here"), F.col("__key").alias("k")), F.struct((F.col("__no") + 1).alias("no"), F.lit(2).alias("here"), F.col("__key").alias("k")))))
     sides = both.groupBy("no", "k").agg(F.sum("here").alias("side"))
     counts = sides.groupBy("no").agg(F.count_if(F.col("side") == 3).alias("kept"), F.count_if(F.col("side") == 1).alias("added"), F.count_if(F.col("side") == 2).alias("pruned"))
-    return counts.join(F.broadcast(runs), F.col("no") == F.col("__no")).select(F.col("__run").alias(run), "kept", "added", "pruned")
+    return counts.join(small(runs), F.col("no") == F.col("__no")).select(F.col("__run").alias(run), "kept", "added", "pruned")
 
 
 def publish(rows: DataFrame, folder: str, run_id: str, allow_empty: bool = False) -> str:
     """Write a snapshot as a new version and point to it by an atomic replace; readers see the old one or the new one.
 
-    Publishing nothing is an error unless ``allow_empty``. A rerun of the same run gives the same content.
+    Publishing nothing is an error unless ``allow_empty``. A rerun of the same run gives the same content. ``folder`` may be
+    on any file system that Spark reaches.
     """
     if not allow_empty and rows.isEmpty():
         raise ValueError("nothing to publish")
     version = f"v={run_id}-{uuid.uuid4().hex[:8]}"
     rows.write.parquet(f"{folder}/{version}")
-    new = Path(folder) / f".pointer-{uuid.uuid4().hex}"
-    new.write_text(json.dumps({"version": version, "run_id": run_id}), encoding="utf-8")
-    os.replace(new, Path(folder) / "current.json")
+    storage.write_text(rows.sparkSession, f"{folder}/current.json", json.dumps({"version": version, "run_id": run_id}))
     return version
 
 
 def current(spark: SparkSession, folder: str, allow_empty: bool = False) -> DataFrame | None:
     """The published snapshot; without one an error, or None if ``allow_empty``."""
-    pointer = Path(folder) / "current.json"
-    if not pointer.exists():
+    if not storage.exists(spark, f"{folder}/current.json"):
         if allow_empty:
             return None
         raise FileNotFoundError(f"no snapshot in {folder}")
-    return spark.read.parquet(f"{folder}/{json.loads(pointer.read_text(encoding='utf-8'))['version']}")
+    return spark.read.parquet(f"{folder}/{json.loads(storage.read_text(spark, f'{folder}/current.json'))['version']}")
