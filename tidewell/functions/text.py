@@ -21,11 +21,6 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared distinct elements of two arrays over all of them; 0 if both are empty."""
-    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
-
-
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether the lower-case text holds any of the (lower-case) words."""
     low = F.lower(F.coalesce(text, F.lit("")))

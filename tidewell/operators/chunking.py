@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 HEADER = {"source": "Source", "department": "Department", "effective_date": "Effective Date", "access": "Access"}
 DEFAULTS = {"source": "", "department": "unknown", "effective_date": "unknown", "access": "internal"}
 CHUNK_CHARS, OVERLAP_CHARS = 1600, 320
+_BLANKS = " \t\n\x0b\f\r"
+_BREAK = re.compile(f"\n[{_BLANKS}]*\n")
 HEADING = r"===[^\n]*?==="
 
 
@@ -47,16 +52,37 @@ def fixed_pieces(rows: DataFrame, text: str, size: int = CHUNK_CHARS, overlap: i
     return out.withColumn("piece", F.substring(F.col(text), F.col("piece_no") * step + 1, F.lit(size)))
 
 
-def packed_paragraphs(rows: DataFrame, text: str, size: int = CHUNK_CHARS) -> DataFrame:
-    """Paragraphs put together in order up to ``size`` characters: ``piece_no`` and ``piece``; a longer paragraph stands alone."""
-    paragraphs = F.filter(F.split(F.col(text), r"\n\s*\n"), lambda p: F.trim(p) != "")
-    start = F.array().cast("array<string>")
+def packed_paragraphs(rows: DataFrame, text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """Paragraphs put together in order up to ``size`` characters: ``piece_no`` and ``piece``.
+
+    Each piece but the first begins with the last ``overlap`` characters of what the one before it added, so that at most
+    ``size - overlap`` are new. A longer paragraph is cut. Null and blank texts give no pieces. A text of any length is read
+    once, in time linear in its length.
+    """
+    room = size - overlap
+
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([_packed(t, room, overlap) if t else [] for t in texts])
+
+    return rows.select("*", F.posexplode(pack(F.col(text))).alias("piece_no", "piece"))
+
+
+def _packed(text: str, room: int, overlap: int) -> list[str]:
+    units = [p[i : i + room] for p in _BREAK.split(text) if p.strip(_BLANKS) for i in range(0, len(p), room)]
+    own: list[list[str]] = []
+    used = room
+    for unit in units:
+        if own and used + 2 + len(unit) <= room:
+            own[-1].append(unit)
+            used += 2 + len(unit)
+        else:
+            own.append([unit])
+            used = len(unit)
+    pieces = ["\n\n".join(p) for p in own]
+    return [(before[-overlap:] if overlap else "") + piece for before, piece in zip(["", *pieces], pieces)]
 
-    def add(done: Column, p: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        fits = last.isNotNull() & (F.length(last) + 2 + F.length(p) <= size)
-        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n\n"), p)))
-        return F.when(fits, joined).otherwise(F.concat(done, F.array(p)))
 
-    packed = F.aggregate(paragraphs, start, add)
-    return rows.select("*", F.posexplode(packed).alias("piece_no", "piece"))
+def token_estimate(text: Column) -> Column:
+    """About how many tokens a text has: a quarter of its characters."""
+    return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +81,83 @@ def top_sources(traces: DataFrame, k: int = 5) -> DataFrame:
 
 
 def compared(variant: DataFrame, baseline: DataFrame, metrics: list[str]) -> DataFrame:
-    """(id, metric, variant, baseline, delta, winner) for every id of ``variant``; nulls are skipped in delta, and tie."""
-    b = baseline.select("id", *[F.col(m).alias(f"b_{m}") for m in metrics])
-    rows = variant.select("id", *metrics).join(b, "id", "left")
-    long = rows.select("id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("variant"), F.col(f"b_{m}").cast("double").alias("baseline")) for m in metrics])))
-    delta = F.round(F.col("variant") - F.col("baseline"), 6)
-    return long.withColumn("delta", delta).withColumn("winner", F.when(F.col("delta") > 0, "Variant").when(F.col("delta") < 0, "Baseline").otherwise("Tie"))
+    """(id, variant_<metric>, baseline_<metric>, variant_total, baseline_total, winner) for every id of ``variant``.
+
+    Totals count a missing value, or a missing row of ``baseline``, as 0; the larger total wins. ``baseline`` has one row an id.
+    """
+    rows = variant.select("id", *[F.col(m).cast("double").alias(f"variant_{m}") for m in metrics]).join(baseline.select("id", *[F.col(m).cast("double").alias(f"baseline_{m}") for m in metrics]), "id", "left")
+    for side in ("variant", "baseline"):
+        total = F.lit(0.0)
+        for m in metrics:
+            total = total + F.coalesce(F.col(f"{side}_{m}"), F.lit(0.0))
+        rows = rows.withColumn(f"{side}_total", F.round(total, 6))
+    better = F.col("variant_total") - F.col("baseline_total")
+    return rows.withColumn("winner", F.when(better > 0, "Variant").when(better < 0, "Baseline").otherwise("Tie"))
+
+
+def averages(variant: DataFrame, baseline: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, baseline, variant, delta): averages over values that are there; no delta where one is missing or 0."""
+    means = lambda side, name: side.agg(*[F.avg(m).alias(m) for m in metrics]).select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for m in metrics])))
+    both = means(baseline, "baseline").join(F.broadcast(means(variant, "variant")), "metric")
+    known = (F.col("baseline") != 0) & (F.col("variant") != 0)
+    return both.select("metric", F.round("baseline", 6).alias("baseline"), F.round("variant", 6).alias("variant"), F.when(known, F.round(F.col("variant") - F.col("baseline"), 6)).alias("delta"))
+
+
+def both_sides(baseline: DataFrame, variant: DataFrame) -> DataFrame:
+    """The rows of both sides under each other, with ``side``: the table of an A/B report."""
+    return baseline.withColumn("side", F.lit("baseline")).unionByName(variant.withColumn("side", F.lit("variant")))
+
+
+def retrieval_report(rows: DataFrame, k: int, preview: int = 180) -> DataFrame:
+    """One row per (question_id, question, chunks, wanted, banned, want_top1): what its first ``k`` chunks show.
+
+    Phrases are looked for in the lower-case texts of the chunks, put together; none wanted counts as found, none banned as
+    not. ``top1_doc_expected`` is yes or no, and empty where no source is wanted. The preview is of the first chunk as it is.
+    """
+    used = F.slice(F.coalesce("chunks", F.array().cast(rows.schema["chunks"].dataType)), 1, k)
+    t = rows.withColumn("__used", used)
+    blob = F.array_join(F.transform("__used", lambda c: F.coalesce(c["text"], F.lit(""))), " ")
+    expected, forbidden = retrieval_checks(blob, F.col("wanted"), F.col("banned"))
+    yes = lambda c: F.when(c, "yes").otherwise("no")
+    first = F.get("__used", F.lit(0))
+    top1, want = F.coalesce(first["source"], F.lit("")), F.trim(F.coalesce("want_top1", F.lit("")))
+    shown = F.replace(F.substring(F.coalesce(first["text"], F.lit("")), 1, preview), F.lit("\n"), F.lit(" "))
+    return t.select("question_id", "question", top1.alias("top1_doc_id"), shown.alias("top1_preview"), yes(expected).alias("contains_expected"), yes(forbidden).alias("hits_forbidden"), F.when(want == "", "").otherwise(yes(top1 == want)).alias("top1_doc_expected"), F.lit(k).alias("top_k_used"))
+
+
+def context_with_exceptions(chunks: Column, exceptions: Column) -> Column:
+    """Chunks with their source and score, then a list of the rules of the exceptions, each part under a heading."""
+    line = lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(c["source"], F.lit("unknown")), F.lit(" (relevance: "), two_decimals(F.coalesce(c["score"], F.lit(0.0))), F.lit(")\n"), F.coalesce(c["text"], F.lit("")))
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    nothing = F.array().cast("array<string>")
+    documents = F.when(some(chunks), F.concat(F.array(F.lit("=== DOCUMENTS ===")), F.transform(chunks, line))).otherwise(nothing)
+    rules = F.when(some(exceptions), F.concat(F.array(F.lit("=== POLICY EXCEPTIONS ===")), F.transform(exceptions, lambda e: F.concat(F.lit("- "), F.coalesce(e["rule"], F.lit("")))))).otherwise(nothing)
+    return F.when(some(chunks) | some(exceptions), F.array_join(F.concat(documents, rules), "\n\n")).otherwise(F.lit("(no context)"))
+
+
+#: A prompt that holds its answer to the context.
+PROMPT = "Use nothing but the context. Say so if it does not hold the answer. Name sources by their number, like [1]. Answer in the question's language.\n\nQuestion: {question}\n\nContext:\n{context}\n\nAnswer:"
+
+
+def grounded_prompt(question: Column, context: Column, template: str = PROMPT) -> Column:
+    """``template`` with the question and the context in their places; null counts as empty."""
+    head, rest = template.split("{question}")
+    middle, end = rest.split("{context}")
+    return F.concat(F.lit(head), F.coalesce(question, F.lit("")), F.lit(middle), F.coalesce(context, F.lit("")), F.lit(end))
+
+
+def worker_delta(traces: DataFrame, abstaining: list[str]) -> DataFrame:
+    """(kind, traces, confidence, latency_ms, abstain_rate, latency_delta): traces of one worker against those of several.
+
+    ``abstain_rate`` is the share of answers with one of the phrases, ``latency_delta`` the difference to traces of one worker.
+    """
+    low = F.lower(F.coalesce("final_answer", F.lit("")))
+    abstains = functools.reduce(lambda a, b: a | b, [low.contains(p) for p in abstaining])
+    kind = F.when(F.size("workers_called") > 1, "multi").otherwise("single")
+    by = traces.groupBy(kind.alias("kind")).agg(F.count("*").alias("traces"), F.avg("confidence").alias("c"), F.avg("latency_ms").alias("l"), F.avg(abstains.cast("double")).alias("a"))
+    single = by.where("kind = 'single'").agg(F.max("l").alias("single"))
+    out = by.crossJoin(F.broadcast(single))
+    return out.select("kind", "traces", F.round("c", 6).alias("confidence"), F.round("l", 6).alias("latency_ms"), F.round("a", 6).alias("abstain_rate"), F.round(F.col("l") - F.col("single"), 6).alias("latency_delta"))
 
 
 def routed(tasks: DataFrame, task: str, rules: list[tuple[str, list[str]]], default: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import strip
+from tidewell.functions.text import folded_spaces, strip
 
 
 @dataclass(frozen=True)
@@ -57,3 +57,17 @@ def shares(rows: DataFrame, key: str) -> DataFrame:
     counts = rows.groupBy(key).agg(F.count("*").alias("rows"))
     total = counts.agg(F.sum("rows").alias("total"))
     return counts.join(F.broadcast(total)).select(key, "rows", F.round(F.col("rows") / F.col("total"), 6).alias("share"))
+
+
+def repeats(rows: DataFrame, text: str, severity: str = "warn", name: str = "no_duplicate_chunk_text") -> DataFrame:
+    """(expectation, severity, violations, passed): rows beyond the first of each text, case and white space aside; null counts as empty."""
+    counts = rows.groupBy(folded_spaces(strip(F.coalesce(text, F.lit("")))).alias("t")).agg(F.count("*").alias("n"))
+    out = counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violations"))
+    return out.select(F.lit(name).alias("expectation"), F.lit(severity).alias("severity"), "violations", (F.col("violations") == 0).alias("passed"))
+
+
+def missing_fields(rows: DataFrame, key: str, required: list[str]) -> DataFrame:
+    """(key, missing, ok): which of the required columns are null or blank in each row; a column that isn't there is missing."""
+    gone = lambda c: F.when(strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) if c in rows.columns else F.lit(c)
+    missing = F.array_compact(F.array(*[gone(c) for c in required]))
+    return rows.select(key, F.array_join(missing, ",").alias("missing")).withColumn("ok", F.col("missing") == "")

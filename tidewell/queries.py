@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import chunking, cleaning, evaluation, parsing, quality, retrieval, snapshots, timestamps
+from tidewell.plans import index
 from tidewell.session import stage
 from tidewell.sources.tables import table
 from tidewell.streaming import events
@@ -175,6 +176,24 @@ def required_fields(spark: SparkSession, sf: str) -> DataFrame:
     return t.agg(F.count("*").alias("traces"), null("question_id").alias("no_question"), null("final_answer").alias("no_answer"), null("latency_ms").alias("no_latency"), F.count_if(F.size("retrieved_chunks") == 0).alias("no_chunks"), F.count_if(F.coalesce("route_reason", F.lit("")) == "").alias("no_reason"))
 
 
+@query(
+    f"""WITH t AS (SELECT lower(trim(regexp_replace({_STRIP("chunk_text")}, '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS t FROM policy_export_dirty), n AS (SELECT t, count(*) AS n FROM t GROUP BY t)
+SELECT 'no_duplicate_chunk_text' AS expectation, 'warn' AS severity, CAST(sum(n - 1) AS BIGINT) AS violations, sum(n - 1) = 0 AS passed FROM n"""
+)
+def duplicate_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the export beyond the first of each text."""
+    return quality.repeats(table(spark, sf, "policy_export_dirty", "chunk_text"), "chunk_text")
+
+
+_REQUIRED = ["run_id", "raw_records", "cleaned_records", "quarantine_records", "latest_exported_at", "chroma_path"]
+
+
+@query("WITH m AS (SELECT run_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_STRIP(f'CAST({c} AS VARCHAR)')} = '' THEN '{c}' END" for c in _REQUIRED) + "], lambda x: x IS NOT NULL), ',') AS missing FROM manifests) SELECT run_id, missing, missing = '' AS ok FROM m")
+def manifest_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Required fields that the manifests lack."""
+    return quality.missing_fields(table(spark, sf, "manifests"), "run_id", _REQUIRED)
+
+
 # --- documents and chunks -------------------------------------------------------------------------------------------
 
 _HEAD = lambda label, default: f"coalesce(nullif(trim(regexp_extract(head, '(?s)^(?:.*\\n)?{label}:([^\\n]*)', 1)), ''), '{default}')".replace("\\\\", "\\")
@@ -219,12 +238,36 @@ def fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.fixed_pieces(chunking.sections(_parsed(spark, sf)), "section_text").select("doc_id", "section_no", "piece_no", "piece")
 
 
-@query()
+_ROOM = 1280  # characters of a piece that are new
+
+
+@query(
+    _SECTION_SQL.replace("WITH d AS", "WITH RECURSIVE d AS")
+    + f""", paragraphs AS (SELECT doc_id, section_no, unnest(p) AS p, unnest(range(len(p))) AS n FROM (SELECT doc_id, section_no, list_filter(string_split_regex(section_text, '\n[ \t\n\x0b\f\r]*\n'), lambda x: regexp_replace(x, '[ \t\n\x0b\f\r]+', '', 'g') <> '') AS p FROM sections)),
+parts AS (SELECT doc_id, section_no, n, p, unnest(range(0, CAST(length(p) AS BIGINT), {_ROOM})) AS i FROM paragraphs),
+units AS (SELECT doc_id, section_no, substring(p, i + 1, {_ROOM}) AS unit, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY n, i) AS u FROM parts),
+fold AS (SELECT doc_id, section_no, u, unit, 0 AS piece_no, CAST(length(unit) AS BIGINT) AS used FROM units WHERE u = 1
+  UNION ALL SELECT x.doc_id, x.section_no, x.u, x.unit, f.piece_no + CASE WHEN f.used + 2 + length(x.unit) <= {_ROOM} THEN 0 ELSE 1 END, CASE WHEN f.used + 2 + length(x.unit) <= {_ROOM} THEN f.used + 2 + length(x.unit) ELSE length(x.unit) END
+  FROM fold f JOIN units x ON x.doc_id = f.doc_id AND x.section_no = f.section_no AND x.u = f.u + 1),
+own AS (SELECT doc_id, section_no, piece_no, string_agg(unit, chr(10) || chr(10) ORDER BY u) AS body FROM fold GROUP BY ALL)
+SELECT doc_id, section_no, piece_no, coalesce(right(lag(body) OVER (PARTITION BY doc_id, section_no ORDER BY piece_no), 320), '') || body AS piece FROM own"""
+)
 def paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections cut at paragraphs, which are put together up to 1600 characters."""
+    """Sections cut at paragraphs, which are put together up to 1600 characters of which 320 overlap."""
     return chunking.packed_paragraphs(chunking.sections(_parsed(spark, sf)), "section_text").select("doc_id", "section_no", "piece_no", "piece")
 
 
+@query(
+    _SECTION_SQL
+    + """, pieces AS (SELECT doc_id, section_no, section, unnest(range(0, 1 + CAST(ceil(greatest(length(section_text) - 1600, 0) / 1280.0) AS BIGINT))) AS i, section_text FROM sections),
+c AS (SELECT doc_id || '-' || section_no || '-' || i AS chunk_id, doc_id, section, substring(section_text, CAST(i * 1280 + 1 AS BIGINT), 1600) AS text FROM pieces)
+SELECT chunk_id, doc_id, section, text, CAST(length(text) // 4 AS INTEGER) AS tokens, h_source AS source, h_department AS department, h_effective_date AS effective_date, h_access AS access FROM c JOIN parsed USING (doc_id)"""
+)
+def index_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of the index before they get their vectors."""
+    return index.chunks(table(spark, sf, "documents", "doc_id", "text"))
+
+
 @query("SELECT department, count(*) AS documents, count(*) FILTER (WHERE trim(coalesce(effective_date, '')) IN ('', 'unknown')) AS undated, count(*) FILTER (WHERE lang IS NULL) AS no_language FROM documents GROUP BY department")
 def metadata_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and missing metadata by department."""
@@ -250,7 +293,15 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _dense(spark, sf, 10).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
-@query()
+@query(
+    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_id % 20 = 0),
+c AS (SELECT query_id, vec_id, score, e FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) JOIN v USING (vec_id) WHERE rank <= 20),
+near AS (SELECT a.query_id, a.vec_id, b.vec_id AS other, list_cosine_similarity(a.e, b.e) AS sim FROM c a JOIN c b USING (query_id)),
+pick AS (SELECT query_id, 1 AS rank, [list(vec_id ORDER BY round(0.7 * score, 9) DESC, score DESC, vec_id)[1]] AS taken FROM c GROUP BY query_id
+  UNION ALL SELECT query_id, rank + 1, list_append(any_value(taken), list(vec_id ORDER BY round(0.7 * score - 0.3 * m, 9) DESC, score DESC, vec_id)[1])
+  FROM (SELECT p.query_id, p.rank, p.taken, c.vec_id, c.score, max(n.sim) AS m FROM pick p JOIN c ON c.query_id = p.query_id AND NOT list_contains(p.taken, c.vec_id) JOIN near n ON n.query_id = c.query_id AND n.vec_id = c.vec_id AND list_contains(p.taken, n.other) WHERE p.rank < 5 GROUP BY ALL) GROUP BY query_id, rank)
+SELECT query_id, taken[rank] AS vec_id, CAST(rank AS INTEGER) AS rank FROM pick"""
+)
 def mmr_select(spark: SparkSession, sf: str) -> DataFrame:
     """Five diverse ones of the twenty nearest vectors."""
     near = _dense(spark, sf, 20).select("query_id", "vec_id", "score")
@@ -313,6 +364,45 @@ def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.fused(first, second, 10)
 
 
+_DENSE_SQL = """, bucket AS (SELECT word, ('0x' || md5(word)[1:8])::BIGINT % 384 AS bucket FROM (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM q UNION ALL SELECT w FROM d))),
+qv AS (SELECT query_id, bucket, count(*)::DOUBLE AS n FROM (SELECT query_id, unnest(w) AS word FROM q) JOIN bucket USING (word) GROUP BY ALL),
+dv AS (SELECT doc_id, bucket, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN bucket USING (word) GROUP BY ALL),
+near AS (SELECT query_id, doc_id, round(any_value(dot) / sqrt(any_value(qn) * any_value(dn)), 9) AS score FROM (SELECT query_id, doc_id, sum(qv.n * dv.n) AS dot FROM qv JOIN dv USING (bucket) GROUP BY ALL)
+  JOIN (SELECT query_id, sum(n * n) AS qn FROM qv GROUP BY 1) USING (query_id) JOIN (SELECT doc_id, sum(n * n) AS dn FROM dv GROUP BY 1) USING (doc_id) GROUP BY ALL),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near),
+fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(0.6::DOUBLE / (60 + a.rank), 0) + coalesce(0.4::DOUBLE / (60 + b.rank), 0), 9) AS score
+  FROM (SELECT * FROM dense WHERE rank <= 20) a FULL JOIN (SELECT * FROM bm25 WHERE rank <= 20) b USING (query_id, doc_id)),
+both_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused)"""
+
+
+def _by_terms(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """The nearest documents of every question by the cosine of their hashed words."""
+    vectors = retrieval.term_vectors(table(spark, sf, "documents", "doc_id", "text"), "text").select(F.col("doc_id").alias("vec_id"), "embedding")
+    return retrieval.dense_topk(retrieval.term_vectors(_questions(spark, sf), "query"), vectors, k, 384).withColumnRenamed("vec_id", "doc_id")
+
+
+@query(_BM25_SQL + _DENSE_SQL + " SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM both_ranked WHERE rank <= 10")
+def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Reciprocal rank fusion of the dense and the sparse ranking."""
+    return retrieval.fused(_by_terms(spark, sf, 20), _bm25(spark, sf, 20), 10)
+
+
+@query(_BM25_SQL + _DENSE_SQL + " SELECT strategy, query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT 'dense' AS strategy, query_id, doc_id, rank FROM dense UNION ALL SELECT 'sparse', query_id, doc_id, rank FROM bm25 UNION ALL SELECT 'fused', query_id, doc_id, rank FROM both_ranked) WHERE rank <= 10")
+def strategy_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every question by each strategy, side by side."""
+    dense, sparse = stage(_by_terms(spark, sf, 20), "dense"), stage(_bm25(spark, sf, 20), "sparse")
+    return retrieval.compared({"dense": dense.where("rank <= 10"), "sparse": sparse.where("rank <= 10"), "fused": retrieval.fused(dense, sparse, 10)})
+
+
+@query(
+    """WITH p AS (SELECT id AS query_id, coalesce(question, '') AS query, list_filter(list_transform(string_split_regex(coalesce(question, ''), '(?i)[ \t\n\x0b\f\r]+(?:và|and)[ \t\n\x0b\f\r]+|[;?][ \t\n\x0b\f\r]*'), lambda x: trim(x)), lambda x: len(list_filter(string_split_regex(x, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) >= 2) AS parts FROM test_questions),
+e AS (SELECT query_id, CASE WHEN len(parts) > 0 THEN parts ELSE [query] END AS parts FROM p) SELECT query_id, CAST(unnest(range(len(parts))) AS INTEGER) AS part_no, unnest(parts) AS query FROM e"""
+)
+def query_decomposition(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions cut into parts that can be asked alone."""
+    return retrieval.decomposed(_questions(spark, sf))
+
+
 _ALIASES = [("thiết bị", "máy"), ("yêu cầu", "phiếu"), ("khách hàng", "khách"), ("request", "ticket"), ("staff", "employees")]
 
 
@@ -365,16 +455,17 @@ def context_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT run_id, lower(array_to_string(list_transform(retrieved_chunks, lambda c: c.text), ' ')) AS blob, CASE WHEN len(retrieved_chunks) > 0 THEN retrieved_chunks[1].source END AS top1, retrieved_sources FROM agent_state)
-SELECT run_id, contains(blob, 'ngày làm việc') OR contains(blob, 'giờ làm việc') AS contains_expected, contains(blob, 'không') AS hits_forbidden, top1, replace(blob[1:180], chr(10), ' ') AS preview FROM b"""
+    r"""WITH j AS (SELECT question_id, question, coalesce(retrieved_chunks, [])[1:3] AS u, regexp_extract_all(coalesce(expected_answer, ''), '[0-9]+ \p{L}+') AS wanted, regexp_extract_all(coalesce(question, ''), '[0-9]+ \p{L}+') AS banned, trim(coalesce(expected_sources[1], '')) AS want FROM agent_state JOIN test_questions ON question_id = id),
+b AS (SELECT *, lower(array_to_string(list_transform(u, lambda c: coalesce(c.text, '')), ' ')) AS blob, coalesce(u[1].source, '') AS top1 FROM j)
+SELECT question_id, question, top1 AS top1_doc_id, replace(coalesce(u[1].text, '')[1:180], chr(10), ' ') AS top1_preview, CASE WHEN len(wanted) = 0 OR len(list_filter(wanted, lambda x: contains(blob, lower(x)))) > 0 THEN 'yes' ELSE 'no' END AS contains_expected,
+CASE WHEN len(list_filter(banned, lambda x: contains(blob, lower(x)))) > 0 THEN 'yes' ELSE 'no' END AS hits_forbidden, CASE WHEN want = '' THEN '' WHEN top1 = want THEN 'yes' ELSE 'no' END AS top1_doc_expected, 3 AS top_k_used FROM b"""
 )
 def retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the retrieved text of each trace holds wanted and unwanted phrases, its first source and a preview."""
-    t = table(spark, sf, "agent_state", "run_id", "retrieved_chunks")
-    t = t.withColumn("blob", F.lower(F.array_join(F.transform("retrieved_chunks", lambda c: c["text"]), " ")))
-    phrases = lambda *p: F.array(*[F.lit(x) for x in p])
-    expected, forbidden = evaluation.retrieval_checks(F.col("blob"), phrases("ngày làm việc", "giờ làm việc"), phrases("không"))
-    return t.select("run_id", expected.alias("contains_expected"), forbidden.alias("hits_forbidden"), F.get("retrieved_chunks", F.lit(0))["source"].alias("top1"), F.replace(F.substring("blob", 1, 180), F.lit("\n"), F.lit(" ")).alias("preview"))
+    """What the first three chunks of each trace show of its question: quantities of the expected answer are wanted, those of the question not."""
+    quantities = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[0-9]+ \p{L}+"), F.lit(0))
+    q = table(spark, sf, "test_questions").select("id", "question", quantities("expected_answer").alias("wanted"), quantities("question").alias("banned"), F.get("expected_sources", F.lit(0)).alias("want_top1"))
+    rows = table(spark, sf, "agent_state", "question_id", F.col("retrieved_chunks").alias("chunks")).join(q, F.col("question_id") == F.col("id"))
+    return evaluation.retrieval_report(rows, 3)
 
 
 @query(
@@ -395,17 +486,85 @@ def top_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 _AB = """
 WITH m AS (SELECT question_id AS id, hitl_triggered OR needs_tool AS tooled, round(avg(confidence), 9) AS confidence, round(avg(latency_ms), 9) AS latency_ms FROM agent_state WHERE question_id IS NOT NULL GROUP BY 1, 2),
-j AS (SELECT v.id, v.confidence AS vc, b.confidence AS bc, v.latency_ms AS vl, b.latency_ms AS bl FROM (SELECT * FROM m WHERE tooled) v LEFT JOIN (SELECT * FROM m WHERE NOT tooled) b USING (id)),
-l AS (SELECT id, 'confidence' AS metric, vc AS variant, bc AS baseline FROM j UNION ALL SELECT id, 'latency_ms', vl, bl FROM j)
+variant AS (SELECT * FROM m WHERE tooled), baseline AS (SELECT * FROM m WHERE NOT tooled)
 """
 
 
-@query(_AB + "SELECT id, metric, variant, baseline, round(variant - baseline, 6) AS delta, CASE WHEN round(variant - baseline, 6) > 0 THEN 'Variant' WHEN round(variant - baseline, 6) < 0 THEN 'Baseline' ELSE 'Tie' END AS winner FROM l")
-def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Traces with tools or review against those without, question by question."""
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     t = table(spark, sf, "agent_state", "question_id", "hitl_triggered", "needs_tool", "confidence", "latency_ms").where("question_id IS NOT NULL")
     means = t.groupBy(F.col("question_id").alias("id"), (F.col("hitl_triggered") | F.col("needs_tool")).alias("tooled")).agg(F.round(F.avg("confidence"), 9).alias("confidence"), F.round(F.avg("latency_ms"), 9).alias("latency_ms"))
-    return evaluation.compared(means.where("tooled").drop("tooled"), means.where("NOT tooled").drop("tooled"), ["confidence", "latency_ms"])
+    return means.where("tooled").drop("tooled"), means.where("NOT tooled").drop("tooled")
+
+
+@query(
+    _AB
+    + """, t AS (SELECT v.id, v.confidence AS variant_confidence, b.confidence AS baseline_confidence, v.latency_ms AS variant_latency_ms, b.latency_ms AS baseline_latency_ms, round(coalesce(v.confidence, 0) + coalesce(v.latency_ms, 0), 6) AS variant_total, round(coalesce(b.confidence, 0) + coalesce(b.latency_ms, 0), 6) AS baseline_total FROM variant v LEFT JOIN baseline b USING (id))
+SELECT *, CASE WHEN variant_total > baseline_total THEN 'Variant' WHEN variant_total < baseline_total THEN 'Baseline' ELSE 'Tie' END AS winner FROM t"""
+)
+def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Traces with tools or review against those without, by the totals of each question."""
+    return evaluation.compared(*_sides(spark, sf), ["confidence", "latency_ms"])
+
+
+@query(
+    _AB
+    + ", ".join(["", *[f"{m}_means AS (SELECT '{m}' AS metric, (SELECT avg({m}) FROM baseline) AS b, (SELECT avg({m}) FROM variant) AS v)" for m in ("confidence", "latency_ms")]])
+    + " SELECT metric, round(b, 6) AS baseline, round(v, 6) AS variant, CASE WHEN b <> 0 AND v <> 0 THEN round(v - b, 6) END AS delta FROM (SELECT * FROM confidence_means UNION ALL SELECT * FROM latency_ms_means)"
+)
+def ab_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """Averages of both sides by metric."""
+    return evaluation.averages(*_sides(spark, sf), ["confidence", "latency_ms"])
+
+
+@query(
+    f"""WITH t AS (SELECT id, category, confidence, latency_ms, supervisor_route = expected_route AS hit, CASE WHEN len(expected_sources) > 0 THEN len(list_filter(expected_sources, lambda x: len(list_filter(list_transform(coalesce(retrieved_sources, []), lambda s: lower(s)), lambda s: contains(s, {_BASE("x")}))) > 0)) / len(expected_sources) END AS recall FROM agent_state JOIN test_questions ON question_id = id)
+SELECT id, category, count(*) AS traces, round(avg(confidence), 6) AS confidence, round(avg(latency_ms), 6) AS latency_ms, round(avg(recall), 6) AS recall, round(avg(CAST(hit AS DOUBLE)), 6) AS routed_as_expected FROM t GROUP BY id, category"""
+)
+def scorecard_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The scorecard question by question."""
+    q = table(spark, sf, "test_questions", "id", "category", "expected_route", "expected_sources")
+    rows = table(spark, sf, "agent_state", "question_id", "confidence", "latency_ms", "supervisor_route", "retrieved_sources").join(q, F.col("question_id") == F.col("id"))
+    recall, _ = evaluation.context_recall(F.col("expected_sources"), F.col("retrieved_sources"))
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return rows.groupBy("id", "category").agg(F.count("*").alias("traces"), mean("confidence", "confidence"), mean("latency_ms", "latency_ms"), mean(recall, "recall"), mean((F.col("supervisor_route") == F.col("expected_route")).cast("double"), "routed_as_expected"))
+
+
+_ABSTAINING = ["không thể trả lời", "không có đủ căn cứ"]
+
+
+@query(
+    """WITH k AS (SELECT CASE WHEN len(workers_called) > 1 THEN 'multi' ELSE 'single' END AS kind, count(*) AS traces, avg(confidence) AS c, avg(latency_ms) AS l, avg(CAST(contains(lower(coalesce(final_answer, '')), 'không thể trả lời') OR contains(lower(coalesce(final_answer, '')), 'không có đủ căn cứ') AS DOUBLE)) AS a FROM agent_state GROUP BY 1)
+SELECT kind, traces, round(c, 6) AS confidence, round(l, 6) AS latency_ms, round(a, 6) AS abstain_rate, round(l - (SELECT max(l) FROM k WHERE kind = 'single'), 6) AS latency_delta FROM k"""
+)
+def worker_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Traces of one worker against those of several: abstaining answers and the difference in latency."""
+    return evaluation.worker_delta(table(spark, sf, "agent_state", "workers_called", "confidence", "latency_ms", "final_answer"), _ABSTAINING)
+
+
+_CHUNK_LINE = "'[' || i || '] ' || coalesce(c.source, 'unknown') || ' (relevance: ' || printf('%.2f', coalesce(c.score, 0)) || ')' || chr(10) || coalesce(c.text, '')"
+
+
+@query(
+    f"""SELECT run_id, CASE WHEN coalesce(len(retrieved_chunks), 0) = 0 AND coalesce(len(policy_result.exceptions_found), 0) = 0 THEN '(no context)' ELSE array_to_string(list_concat(CASE WHEN len(retrieved_chunks) > 0 THEN list_concat(['=== DOCUMENTS ==='], list_transform(retrieved_chunks, lambda c, i: {_CHUNK_LINE})) ELSE [] END,
+CASE WHEN len(policy_result.exceptions_found) > 0 THEN list_concat(['=== POLICY EXCEPTIONS ==='], list_transform(policy_result.exceptions_found, lambda e: '- ' || coalesce(e.rule, ''))) ELSE [] END), chr(10) || chr(10)) END AS context FROM agent_state"""
+)
+def context_exceptions(spark: SparkSession, sf: str) -> DataFrame:
+    """The context of every trace with the rules of its exceptions."""
+    return table(spark, sf, "agent_state").select("run_id", evaluation.context_with_exceptions(F.col("retrieved_chunks"), F.col("policy_result.exceptions_found")).alias("context"))
+
+
+_PROMPT_PARTS = ["'" + p.replace("'", "''") + "'" for p in evaluation.PROMPT.replace("{context}", "{question}").split("{question}")]
+
+
+@query(
+    f"""WITH x AS (SELECT run_id, coalesce(task, '') AS task, CASE WHEN coalesce(len(retrieved_chunks), 0) = 0 THEN '(no context)' ELSE array_to_string(list_transform(retrieved_chunks, lambda c, i: '[' || i || '] ' || coalesce(c.source, 'unknown')
+|| CASE WHEN coalesce(c.metadata.section, '') <> '' THEN ' | ' || c.metadata.section ELSE '' END || CASE WHEN coalesce(c.score, 0) > 0 THEN ' | score=' || printf('%.2f', c.score) ELSE '' END || chr(10) || coalesce(c.text, '')), chr(10) || chr(10)) END AS context FROM agent_state)
+SELECT run_id, {_PROMPT_PARTS[0]} || task || {_PROMPT_PARTS[1]} || context || {_PROMPT_PARTS[2]} AS prompt FROM x"""
+)
+def grounded_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The prompt of every trace that holds its answer to the context."""
+    t = table(spark, sf, "agent_state", "run_id", "task", "retrieved_chunks")
+    return t.select("run_id", evaluation.grounded_prompt(F.col("task"), evaluation.context_block(F.col("retrieved_chunks"))).alias("prompt"))
 
 
 @query(
