@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewell.functions.csvtext import with_cells
+from tidewell.functions.moments import source_rules
 from tidewell.operators import parsing, timestamps
 
 SOURCES = [("kb", 1, "Asia/Ho_Chi_Minh", "DMY"), ("ny", 2, "America/New_York", "MDY")]
@@ -70,7 +71,7 @@ def test_first_reason_of_each_row(spark):
 
 def test_loaded_rows(spark):
     lines, _, _, sources = tables(spark, lines=[("kb", "export", '1,d,"a, ""b""",,\r'), ("kb", "export", "x,d,t,,")])
-    rows = parsing.loaded_lines(lines.withColumn("reason", F.lit("clash")), sources).collect()
+    rows = parsing.loaded_lines(lines.withColumn("reason", F.lit("clash")), source_rules(sources)).collect()
     assert [(r.line_id, r.chunk_text, r.exported_at) for r in rows] == [(0, 'a, "b"', "")]
 
 

@@ -2,7 +2,8 @@
 
 Parsed cells are exploded into (row, column, value), joined with a rule table that says which check holds for which
 column, checked, and the errors aggregated to the first one of each row; what is left after an anti-join is clean.
-Checks of a whole record (quoting, number of columns) come first, since cells out of place can't be checked.
+What is wrong with a whole record (quoting, number of columns) is a cell of its own, with the lowest ranks, since cells
+out of place can't be checked.
 """
 
 from __future__ import annotations
@@ -19,8 +20,14 @@ EXPORT = ("chunk_id", "doc_id", "chunk_text", "effective_date", "exported_at")
 LAYOUTS = {"export": EXPORT, "quarantine": (*EXPORT, "reason", "effective_date_normalized")}
 REASONS = ("duplicate_chunk_text", "missing_effective_date", "invalid_effective_date_format", "unknown_doc_id", "stale_effective_date", "missing_chunk_text")
 
+#: Columns that aren't in the tables: what is wrong with a whole record, and the date of a row whose text ran on into it.
+RECORD, RUN_ON = "(record)", "(effective_date, run on)"
 #: (table, layout, column, check, whether blanks count as empty, rank, reason): the rule table.
 RULES = (
+    ("policy_export_lines", "record", RECORD, "fact", False, 1, "broken_quoting"),
+    ("policy_export_lines", "record", RECORD, "fact", False, 2, "column_count"),
+    ("policy_export_dirty", "table", RUN_ON, "date", True, 1, "column_count"),
+    ("policy_export_dirty", "record", RECORD, "fact", False, 2, "broken_quoting"),
     ("policy_export_lines", "export", "chunk_id", "digits", False, 3, "invalid_chunk_id"),
     ("policy_export_lines", "export", "effective_date", "date", False, 4, "invalid_effective_date"),
     ("policy_export_lines", "export", "exported_at", "instant", False, 5, "invalid_exported_at"),
@@ -39,16 +46,17 @@ def trimmed(c: Column) -> Column:
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "source_table string, layout string, column string, check string, blank_is_empty boolean, rank int, reason string")
+    """The rules, which every task gets: a row for each entry of RULES."""
+    return F.broadcast(spark.createDataFrame(RULES, "source_table string, layout string, column string, check string, blank_is_empty boolean, rank int, reason string"))
 
 
 def checked_cells(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """Errors among exploded cells: one row (source_table, row_key, rank, reason) for each failed rule.
 
     ``cells`` has source_table, layout, row_key, column, value, default_tz, date_order. A null value fails ``digits`` and
-    ``reason``, and passes ``date`` and ``instant`` (nothing is named). The rule table is small by its size check.
+    ``reason``, and passes ``date`` and ``instant`` (nothing is named). A ``fact`` fails where the value is the rule's reason.
     """
-    ruled = cells.join(small(rules), ["source_table", "layout", "column"])
+    ruled = cells.join(rules, ["source_table", "layout", "column"])
     timed = ruled.where(F.col("check").isin("date", "instant"))
     empty = (F.coalesce(F.col("value"), F.lit("")) == "") | (F.col("blank_is_empty") & (trimmed(F.col("value")) == ""))
     timed = with_moments(timed.where(~empty), {"v": "value"}, "default_tz", "date_order")
@@ -58,8 +66,15 @@ def checked_cells(cells: DataFrame, rules: DataFrame) -> DataFrame:
     value = F.coalesce(F.col("value"), F.lit(""))
     reason = F.lower(trimmed(value)).isin(*REASONS)
     bad_plain = plain.where(~F.when(F.col("check") == "digits", value.rlike("^[0-9]+$")).otherwise(reason))
+    facts = ruled.where((F.col("check") == "fact") & (F.col("value") == F.col("reason")))
     names = ["source_table", "row_key", "rank", "reason"]
-    return bad_time.select(*names).unionAll(bad_plain.select(*names))
+    return bad_time.select(*names).unionAll(bad_plain.select(*names)).unionAll(facts.select(*names))
+
+
+def _record_cells(rows: DataFrame, source_table: str, key: str, fact: Column) -> DataFrame:
+    """A cell for what is wrong with each record: ``fact`` is null where nothing is."""
+    none = F.lit(None).cast("string")
+    return rows.select(F.lit(source_table).alias("source_table"), F.lit("record").alias("layout"), F.col(key).alias("row_key"), none.alias("default_tz"), none.alias("date_order"), F.lit(RECORD).alias("column"), fact.alias("value")).where("value IS NOT NULL")
 
 
 def first_errors(errors: DataFrame) -> DataFrame:
@@ -74,16 +89,15 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return out.withColumn("columns", F.element_at(names, F.col("layout"))).withColumnRenamed("csv_quoting_ok", "quoting_ok")
 
 
-def line_errors(parsed: DataFrame, sources: DataFrame, rules: DataFrame) -> DataFrame:
-    """All errors of the lines of ``parsed_lines``; a layout that is not known has no right number of columns."""
+def line_errors(parsed: DataFrame, zones: DataFrame, rules: DataFrame) -> DataFrame:
+    """All errors of the lines of ``parsed_lines``, with the ``source_rules`` in ``zones``; a layout that is not known has no right number of columns."""
     structure = F.when(~F.col("quoting_ok"), F.lit("broken_quoting")).when(~F.coalesce(F.size("csv_cells") == F.size("columns"), F.lit(False)), F.lit("column_count"))
-    whole = parsed.select(F.lit("policy_export_lines").alias("source_table"), F.col("line_id").alias("row_key"), F.when(~F.col("quoting_ok"), 1).otherwise(2).alias("rank"), structure.alias("reason")).where("reason is not null")
-    fine = parsed.where(structure.isNull()).join(small(source_rules(sources)), "source_system", "left")
+    fine = parsed.where(structure.isNull()).join(zones, "source_system", "left")
     cells = fine.select(
         F.lit("policy_export_lines").alias("source_table"), "layout", F.col("line_id").alias("row_key"), "default_tz", "date_order",
         F.explode(F.filter(F.arrays_zip(F.col("columns").alias("column"), F.col("csv_cells").alias("value")), lambda c: ~c["column"].isin("doc_id", "chunk_text"))).alias("cell"),
     ).select("*", "cell.column", "cell.value").drop("cell")
-    return whole.unionAll(checked_cells(cells, rules))
+    return checked_cells(cells.unionByName(_record_cells(parsed, "policy_export_lines", "line_id", structure)), rules)
 
 
 def displaced(text: str = "chunk_text", second: str = "effective_date", third: str = "exported_at") -> tuple[Column, Column]:
@@ -103,26 +117,19 @@ def displaced(text: str = "chunk_text", second: str = "effective_date", third: s
 TAIL = r'(?m),"?((?:[A-Za-z]+ \d{1,2}, \d{4}|\d{1,2} tháng \d{1,2}, \d{4})|[^,"\n]*)"?,"?((?:[A-Z][a-z]{2}, [^,"\n]*)|(?:[A-Z][a-z]{2,8} \d{1,2}, \d{4}[^,"\n]*)|[^,"\n]*)"?[ \t\r]*$'
 
 
-def dirty_errors(export: DataFrame, sources: DataFrame, rules: DataFrame) -> DataFrame:
+def dirty_errors(export: DataFrame, zones: DataFrame, rules: DataFrame) -> DataFrame:
     """All errors of policy_export_dirty: fields out of place first, then impossible dates."""
-    with_source = export.select("row_id", "source_system", "chunk_text", "effective_date", "exported_at").join(small(source_rules(sources)), "source_system", "left")
+    with_source = export.select("row_id", "source_system", "chunk_text", "effective_date", "exported_at").join(zones, "source_system", "left")
     ran_on, took_in = displaced()
     tailed = with_source.withColumns({"__took": took_in, "__ran": ran_on})
     tails = F.arrays_zip(*[F.regexp_extract_all("chunk_text", F.lit(TAIL), F.lit(i)).alias(name) for i, name in ((1, "tail_date"), (2, "tail_instant"))])
     suspects = tailed.where("__took").select("row_id", "default_tz", "date_order", F.inline(tails))
     suspects = with_moments(suspects, {"d": "tail_date", "x": "tail_instant"}, "default_tz", "date_order")
     took = suspects.where(F.col("x_micros").isNotNull() | (F.col("d_date").isNotNull() & (F.trim("tail_instant") == "")))
-    key = lambda df, rank, reason: df.select(F.lit("policy_export_dirty").alias("source_table"), F.col("row_id").alias("row_key"), F.lit(rank).alias("rank"), F.lit(reason).alias("reason"))
-    cells = tailed.select(F.lit("policy_export_dirty").alias("source_table"), F.lit("table").alias("layout"), F.col("row_id").alias("row_key"), "default_tz", "date_order", "__ran", F.explode(F.array(F.struct(F.lit("effective_date").alias("column"), F.col("effective_date").alias("value")))).alias("cell")).select("*", "cell.column", "cell.value").drop("cell")
-    # cells of a text that ran on name no date; so the failed cells tell which of the suspects did
-    return key(took, 2, "broken_quoting").unionAll(_ran_on(cells, rules))
-
-
-def _ran_on(cells: DataFrame, rules: DataFrame) -> DataFrame:
-    """Errors of the date cells; a failed cell that is the rest of a sentence has the reason column_count."""
-    failed = checked_cells(cells.withColumn("row_key", F.struct("row_key", "__ran")), rules)
-    ran = F.col("row_key.__ran")
-    return failed.select("source_table", F.col("row_key.row_key").alias("row_key"), F.when(ran, 1).otherwise(F.col("rank")).alias("rank"), F.when(ran, "column_count").otherwise(F.col("reason")).alias("reason"))
+    column = F.when(F.col("__ran"), RUN_ON).otherwise("effective_date")  # the rest of a sentence names no date, or it is none
+    cell = F.array(F.struct(column.alias("column"), F.col("effective_date").alias("value")))
+    cells = tailed.select(F.lit("policy_export_dirty").alias("source_table"), F.lit("table").alias("layout"), F.col("row_id").alias("row_key"), "default_tz", "date_order", F.inline(cell))
+    return checked_cells(cells.unionByName(_record_cells(took, "policy_export_dirty", "row_id", F.lit("broken_quoting"))), rules)
 
 
 def quarantine_errors(quarantine: DataFrame, rules: DataFrame) -> DataFrame:
@@ -137,22 +144,22 @@ def failed_rows(lines: DataFrame, export: DataFrame, quarantine: DataFrame, sour
     Nulls: a null raw_line is broken_quoting, a null reason invalid_reason, null dates are no error. Empty tables give no
     rows. Repeated row keys give one row with the first reason. Further columns are ignored.
     """
-    rules = rule_table(lines.sparkSession)
-    errors = line_errors(parsed_lines(lines), sources, rules).unionAll(dirty_errors(export, sources, rules)).unionAll(quarantine_errors(quarantine, rules))
+    rules, zones = rule_table(lines.sparkSession), small(source_rules(sources))
+    errors = line_errors(parsed_lines(lines), zones, rules).unionAll(dirty_errors(export, zones, rules)).unionAll(quarantine_errors(quarantine, rules))
     return first_errors(errors)
 
 
-def loaded_lines(lines: DataFrame, sources: DataFrame) -> DataFrame:
+def loaded_lines(lines: DataFrame, zones: DataFrame) -> DataFrame:
     """The valid records of the lines as columns, by an anti-join with the failed ones."""
     parsed = parsed_lines(lines)
-    clean = _without(parsed, first_errors(line_errors(parsed, sources, rule_table(lines.sparkSession))), "line_id")
+    clean = _without(parsed, first_errors(line_errors(parsed, zones, rule_table(lines.sparkSession))), "line_id")
     cells = [F.get("csv_cells", F.lit(i)).alias(c) for i, c in enumerate(LAYOUTS["quarantine"])]
     return clean.select("line_id", "file_name", "line_no", "source_system", "layout", *cells)
 
 
-def loaded_export(export: DataFrame, sources: DataFrame) -> DataFrame:
+def loaded_export(export: DataFrame, zones: DataFrame) -> DataFrame:
     """The valid rows of policy_export_dirty with all their columns, by an anti-join with the failed ones."""
-    return _without(export, first_errors(dirty_errors(export, sources, rule_table(export.sparkSession))), "row_id")
+    return _without(export, first_errors(dirty_errors(export, zones, rule_table(export.sparkSession))), "row_id")
 
 
 def loaded_quarantine(quarantine: DataFrame) -> DataFrame:
@@ -171,9 +178,10 @@ def loaded_rows(lines: DataFrame, export: DataFrame, quarantine: DataFrame, sour
 
     A column that a table lacks is null in its rows. Empty tables give no rows; all rows of a key that failed are out.
     """
+    zones = small(source_rules(sources))
     parts = (
-        ("policy_export_lines", "line_id", loaded_lines(lines, sources)),
-        ("policy_export_dirty", "row_id", loaded_export(export, sources)),
+        ("policy_export_lines", "line_id", loaded_lines(lines, zones)),
+        ("policy_export_dirty", "row_id", loaded_export(export, zones)),
         ("quarantine_ci_smoke", "quarantine_id", loaded_quarantine(quarantine)),
     )
     first, *rest = (df.select(F.lit(name).alias("source_table"), F.col(key).alias("row_key"), *df.columns) for name, key, df in parts)
