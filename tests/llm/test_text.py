@@ -108,6 +108,25 @@ def test_pairs(spark):
     assert got == {("agent_state", k): v for k, v in want.items()} | {("test_questions", "q1"): "empty"}
 
 
+def test_clause_tags_on_held_out_pairs():
+    """Trained on three quarters of the labelled pairs, none of whose questions stand in the rest."""
+    rows = pairs.labelled_pairs()
+    held = {q for i, q in enumerate(sorted({r["question"] for r in rows})) if i % 4 == 0}
+    known, rest = [r for r in rows if r["question"] not in held], [r for r in rows if r["question"] in held]
+    counts = pairs.end_counts(r["answer"] for r in rows)
+    ends = {t: (counts[t, True], counts[t, True] + counts[t, False]) for r in rows if (t := pairs.tail(r["answer"]))}
+    model = pairs.fitted(known, ends, epochs=20)
+    right, all_defects, agreed = 0, 0, 0
+    for r in rest:
+        parts, f = pairs.clause_features(r["question"], r["answer"], ends, model.vocabulary)
+        tags = [pairs.TAGS[t] for t in model.chain.decode(model.chain.emissions(crf.Features.of(f)), np.array([0, len(parts)]))]
+        want, got = (pairs.defect(r["question"], r["answer"], t, parts) for t in (r["tags"], tags))
+        right += want == got
+        all_defects += want is not None
+        agreed += want is not None and want == got
+    assert len(rest) > 100 and right / len(rest) > 0.95 and agreed / all_defects > 0.9
+
+
 def test_refusals_behind_a_long_beginning(spark):
     q = "Ai duyệt yêu cầu nghỉ bù cuối quý của khối văn phòng?"
     begins = ["Về việc ai duyệt yêu cầu nghỉ bù cuối quý của khối văn phòng trong năm nay thì", "Yêu cầu nghỉ bù cuối quý của khối văn phòng do trưởng bộ phận kho lạnh duyệt trong bảng theo dõi chung"]
