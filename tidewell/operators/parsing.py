@@ -57,18 +57,15 @@ def checked_cells(cells: DataFrame, rules: DataFrame) -> DataFrame:
     ``reason``, and passes ``date`` and ``instant`` (nothing is named). A ``fact`` fails where the value is the rule's reason.
     """
     ruled = cells.join(rules, ["source_table", "layout", "column"])
-    timed = ruled.where(F.col("check").isin("date", "instant"))
-    empty = (F.coalesce(F.col("value"), F.lit("")) == "") | (F.col("blank_is_empty") & (trimmed(F.col("value")) == ""))
-    timed = with_moments(timed.where(~empty), {"v": "value"}, "default_tz", "date_order")
+    value, check = F.coalesce(F.col("value"), F.lit("")), F.col("check")
+    empty = (value == "") | (F.col("blank_is_empty") & (trimmed(value) == ""))
+    # all checks in one pass; only dates and instants are looked at as such
+    timed = ruled.withColumn("timed", F.when(check.isin("date", "instant") & ~empty, F.col("value")))
+    read = with_moments(timed, {"v": "timed"}, "default_tz", "date_order")
     # a value whose day is impossible names no instant either
-    bad_time = timed.where(F.when(F.col("check") == "date", F.col("v_date").isNull()).otherwise(F.col("v_micros").isNull()))
-    plain = ruled.where(F.col("check").isin("digits", "reason"))
-    value = F.coalesce(F.col("value"), F.lit(""))
-    reason = F.lower(trimmed(value)).isin(*REASONS)
-    bad_plain = plain.where(~F.when(F.col("check") == "digits", value.rlike("^[0-9]+$")).otherwise(reason))
-    facts = ruled.where((F.col("check") == "fact") & (F.col("value") == F.col("reason")))
-    names = ["source_table", "row_key", "rank", "reason"]
-    return bad_time.select(*names).unionAll(bad_plain.select(*names)).unionAll(facts.select(*names))
+    named = F.when(check == "date", F.col("v_date").isNotNull()).otherwise(F.col("v_micros").isNotNull())
+    plain = F.when(check == "digits", value.rlike("^[0-9]+$")).when(check == "reason", F.lower(trimmed(value)).isin(*REASONS)).when(check == "fact", value != F.col("reason")).otherwise(True)
+    return read.where(~F.when(F.col("timed").isNotNull(), named).otherwise(plain)).select("source_table", "row_key", "rank", "reason")
 
 
 def _record_cells(rows: DataFrame, source_table: str, key: str, fact: Column) -> DataFrame:
