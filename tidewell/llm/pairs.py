@@ -16,7 +16,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from tidewell.session import stage
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Pairs of the labelled table; at most so many are used for training.
-LABELLED = Path(__file__).with_name("labelled_pairs.jsonl")
+LABELLED = resources.files(__package__).joinpath("labelled_pairs.jsonl")
 LABELLED_ROWS = 2_000
 FEATURE_BITS = 15
 # What stands in the place of an answer, and names of languages in questions.

@@ -12,7 +12,7 @@ import functools
 import re
 import unicodedata
 from collections.abc import Iterator
-from pathlib import Path
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from tidewell.llm.textblocks import CodeTable, blocks, mixed
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 LABELS = ("O", *(f"{x}-{t}" for t in TYPES for x in "BI"))
 #: Lines of the labelled table; at most so many are used for training.
-LABELLED = Path(__file__).with_name("labelled_pii.txt")
+LABELLED = resources.files(__package__).joinpath("labelled_pii.txt")
 LABELLED_ROWS = 2_000
 FEATURE_BITS = 16
 #: A token opens a decoding window if another label than O could gain on it, less this; windows reach so many tokens out.
