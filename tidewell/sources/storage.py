@@ -22,6 +22,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return system.exists(target) and system.getFileStatus(target).isDirectory()
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files in a folder."""
+    target, system = _open(spark, path)
+    return system.getContentSummary(target).getLength()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     target, system = _open(spark, path)
     stream = system.open(target)
