@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.joins import small
+from tidewell.session import stage
 from tidewell.sources import storage
 
 
@@ -24,12 +25,13 @@ def changes(keys: DataFrame, run: str, key: str) -> DataFrame:
 
     Runs are numbered by a window over their distinct names; keys are compared by one aggregate per key and pair of runs.
     """
-    runs = keys.select(F.col(run).alias("__run")).distinct().withColumn("__no", F.row_number().over(Window.orderBy("__run")))
-    numbered = keys.select(F.col(run).alias("__run"), F.col(key).alias("__key")).distinct().join(small(runs), "__run")
+    each = stage(keys.select(F.col(run).alias("__run"), F.col(key).alias("__key")).distinct(), "keys")
+    runs = small(each.select("__run").distinct().withColumn("__no", F.row_number().over(Window.orderBy("__run"))))
+    numbered = each.join(runs, "__run")
     both = numbered.select(F.inline(F.array(F.struct(F.col("__no").alias("no"), F.lit(1).alias("here"), F.col("__key").alias("k")), F.struct((F.col("__no") + 1).alias("no"), F.lit(2).alias("here"), F.col("__key").alias("k")))))
     sides = both.groupBy("no", "k").agg(F.sum("here").alias("side"))
     counts = sides.groupBy("no").agg(F.count_if(F.col("side") == 3).alias("kept"), F.count_if(F.col("side") == 1).alias("added"), F.count_if(F.col("side") == 2).alias("pruned"))
-    return counts.join(small(runs), F.col("no") == F.col("__no")).select(F.col("__run").alias(run), "kept", "added", "pruned")
+    return counts.join(runs, F.col("no") == F.col("__no")).select(F.col("__run").alias(run), "kept", "added", "pruned")
 
 
 def publish(rows: DataFrame, folder: str, run_id: str, allow_empty: bool = False) -> str:
