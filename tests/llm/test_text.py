@@ -225,6 +225,15 @@ def test_short_items_leak_by_both_ways(spark, seeds):
     assert got == {(0, 0, 5), (1, 1, 5), (2, 2, 5)}
 
 
+@pytest.mark.parametrize("seeds", [0, 10**6])
+def test_passages_with_the_same_id_are_all_looked_for(spark, seeds):
+    one, two = (" ".join(f"{a}{k}" for k in range(20)) for a in "ab")
+    items = spark.createDataFrame([(1, one), (1, two), (1, two)], "item_id bigint, passage string")
+    frame = spark.createDataFrame([(5, f"x {one} y"), (6, f"{two} z {one}")], "doc_id bigint, text string")
+    rows = leaks.tiled(frame, items, broadcast_seeds=seeds)
+    assert sorted((r.doc_id, r.item_id, r.longest) for r in rows.collect()) == [(5, 1, 20), (6, 1, 20), (6, 1, 20)]
+
+
 def test_tiles_do_not_overlap():
     doc, item = [1, 2, 3, 4, 5, 6, 7, 3, 4, 5, 6, 7, 8], [3, 4, 5, 6, 7, 8]
     seeds = [(s, t) for s in range(9) for t in range(2) if doc[s : s + 5] == item[t : t + 5]]

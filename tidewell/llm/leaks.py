@@ -288,14 +288,14 @@ def _mask(item_seeds: DataFrame) -> bytes:
 
 
 def _tile_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tile pairs whose shared seeds (doc_id, row, item_id, item_words, at, item_at) come one behind the other."""
+    """Tile pairs whose shared seeds (doc_id, row, item_id, item_row, item_words, at, item_at) come one behind the other."""
     rest = None
     for batch in itertools.chain(batches, [None]):
         table = pa.Table.from_batches([b for b in (rest, batch) if b is not None]).combine_chunks() if rest is not None or batch is not None else None
         if table is None or not table.num_rows:
             continue
-        row, item, doc, words, at, item_at = (table.column(c).to_numpy() for c in ("row", "item_id", "doc_id", "item_words", "at", "item_at"))
-        cuts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
+        row, item, item_row, doc, words, at, item_at = (table.column(c).to_numpy() for c in ("row", "item_id", "item_row", "doc_id", "item_words", "at", "item_at"))
+        cuts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item_row[1:] != item_row[:-1])))
         ends = np.append(cuts[1:], len(row))
         if batch is not None:  # the last pair may go on in the next batch
             rest = table.slice(int(cuts[-1])).combine_chunks().to_batches()[0]
@@ -313,7 +313,7 @@ def tiled(documents: DataFrame, passages: DataFrame, broadcast_seeds: int = BROA
 
     ``longest`` is the longest tile in words, ``covered`` the words of all tiles of five words or more. Null and empty texts
     and items of less than five words give nothing; texts of any length are tiled whole; repeated documents give a row
-    each; of items with the same id one is taken; empty tables give no rows; further columns are ignored.
+    each, and so do different passages with the same item_id; empty tables give no rows; further columns are ignored.
 
     With more than ``broadcast_seeds`` seeds the items don't go to every task, with the same result: documents send the
     seeds in the items' mask through a join, in which frequent ones are split, and pairs are tiled from their shared
@@ -321,17 +321,17 @@ def tiled(documents: DataFrame, passages: DataFrame, broadcast_seeds: int = BROA
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
-    items = passages.select("item_id", "passage").where("passage IS NOT NULL AND item_id IS NOT NULL").dropDuplicates(["item_id"])
+    items = passages.select("item_id", "passage").where("passage IS NOT NULL AND item_id IS NOT NULL").distinct()
     size = items.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0] // 2  # at most a word for two characters
     if size <= broadcast_seeds:
-        rows = items.orderBy("item_id").toArrow()
+        rows = items.orderBy("item_id", "passage").toArrow()
         shared = spark.sparkContext.broadcast(Items.of(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
         return docs.mapInArrow(tiling(shared), FOUND)
-    item_seeds = stage(items.mapInArrow(_seed_rows(), _SEEDS), "item-seeds").select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), "seed", "check", F.col("at").alias("item_at"))
+    item_seeds = stage(items.mapInArrow(_seed_rows(), _SEEDS), "item-seeds").select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("words").alias("item_words"), "seed", "check", F.col("at").alias("item_at"))
     mask = spark.sparkContext.broadcast(_mask(item_seeds))
     seeds = stage(docs.mapInArrow(_seed_rows(mask), _SEEDS), "seeds").select(F.col("id").alias("doc_id"), "row", "seed", "check", "at")
     met = join_salted(seeds, item_seeds, ["seed", "check"], "row")
-    pairs = met.select("doc_id", "row", "item_id", "item_words", "at", "item_at").repartition("row", "item_id").sortWithinPartitions("row", "item_id")
+    pairs = met.select("doc_id", "row", "item_id", "item_row", "item_words", "at", "item_at").repartition("row", "item_row").sortWithinPartitions("row", "item_row")
     return pairs.mapInArrow(_tile_sorted, FOUND)
 
 
