@@ -84,9 +84,10 @@ def content_ids(rows: DataFrame) -> DataFrame:
 def positional_ids(rows: DataFrame, order: str = "row_id", block: int = 100_000) -> DataFrame:
     """``seq`` 1..n in ``order`` and ``chunk_key`` from document, text and seq.
 
-    Counts of blocks of order values give each block its start, so that no task ranks more than a block's rows.
+    Counts of blocks of order values give each block its start, so that no task ranks more than a block's rows. Rows
+    without an order value come first.
     """
-    rows = rows.withColumn("__block", F.floor(F.col(order) / block))
+    rows = rows.withColumn("__block", F.coalesce(F.floor(F.col(order) / block), F.lit(-(2**62))))
     ahead = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("__block").agg(F.count("*").alias("n")).withColumn("__start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     inside = Window.partitionBy("__block").orderBy(order)

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.functions.text import tokens
 from tidewell.operators.joins import join_salted, small
@@ -74,7 +75,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, dims: int) -> Dat
     """(query_id, vec_id, score, rank): the ``k`` nearest by cosine of (query_id, embedding) among (vec_id, embedding).
 
     Up to QUERY_CELLS numbers, all queries go to every task as one matrix and meet the vectors where they are read: nothing
-    is shuffled but each task's best ``k`` of a query. More queries meet the vectors in blocks, by a join of packs of both.
+    is shuffled but each task's best ``k`` of a query. More queries meet the vectors in blocks: packs of both are made where they
+    are read, and those of queries are staged.
     Vectors without length or with null score 0.
     """
     if queries.count() * dims <= QUERY_CELLS:
@@ -95,9 +97,16 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, dims: int) -> Dat
         return ranked(found, "query_id", "vec_id", k)
 
     def packs(rows: DataFrame, key: str, name: str, size: int) -> DataFrame:
-        part = F.pmod(F.xxhash64(key), F.lit(64))
-        place = F.floor(F.row_number().over(Window.partitionBy("__part").orderBy(key)) / size)
-        return rows.select(key, "embedding").withColumn("__part", part).withColumn("__place", place).groupBy("__part", "__place").agg(F.collect_list(F.struct(key, "embedding")).alias(name)).select(name)
+        """Rows of a partition in lists of up to ``size``, made where they are read."""
+        narrow = rows.select(key, "embedding")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                whole = pa.StructArray.from_arrays(batch.columns, names=[key, "embedding"])
+                cuts = pa.array([*range(0, batch.num_rows, size), batch.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, whole)], names=[name])
+
+        return narrow.mapInArrow(pack, T.StructType([T.StructField(name, T.ArrayType(narrow.schema))]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +117,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, dims: int) -> Dat
                 query, item, score = best.rows
                 yield pa.RecordBatch.from_arrays([q.field("query_id").take(pa.array(query)), pa.array(item), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    both = packs(vectors, "vec_id", "vectors", 4096).crossJoin(packs(queries, "query_id", "queries", BLOCK_QUERIES))
+    both = packs(vectors, "vec_id", "vectors", 4096).crossJoin(stage(packs(queries, "query_id", "queries", BLOCK_QUERIES), "query-packs"))
     met = both.mapInArrow(meet, f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id bigint, score double")
     return ranked(met, "query_id", "vec_id", k)
 
